@@ -14,6 +14,8 @@ LABELS = ("level", "focus", "topic", "say", "pace")
 #: what separates words: all but letters and digits, and apostrophes and full stops that are not inside a word
 _APART = r"[^\p{L}\p{Nd}'.]+|(?<!\p{L})'|'(?!\p{L})|(?<!\p{Nd})\.|\.(?!\p{Nd})"
 
+_SPACE = " \t\n\r\f\x0b\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def words(text: Column) -> Column:
     """The words of a text in lower case, parted by single spaces; empty if it has none.
@@ -36,7 +38,8 @@ def canonical(text: Column, labels: Sequence[str] = LABELS) -> Column:
     pieces = F.filter(F.split(text, r"[|;\r\n]+"), lambda p: p.rlike(r"(?U)\S"))
     fields = F.transform(pieces, lambda p: F.concat(F.lower(F.regexp_extract(p, label, 1)), F.lit("\x02"), words(F.regexp_replace(p, label, ""))))
     is_record = (F.size(pieces) >= 2) & F.forall(pieces, lambda p: p.rlike(label))
-    doc = F.when(text.rlike(r"^\s*\{"), F.try_parse_json(text))
+    bare = F.btrim(text, F.lit(_SPACE))
+    doc = F.when(bare.startswith("{"), F.try_parse_json(bare))
     pairs = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
     strings = F.forall(pairs, lambda e: F.schema_of_variant(e["value"]) == "STRING")
     json_fields = F.transform(pairs, lambda e: F.concat(F.lower(F.trim(e["key"])), F.lit("\x02"), words(F.try_variant_get(e["value"], "$", "string"))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veloquent.llm import copies, distinct, percentiles
+from veloquent.llm import copies, distinct, lookalike, packing, percentiles, tokens
+from veloquent import session
 from veloquent.tables import table
 
 
@@ -47,7 +48,27 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.histogram(table(spark, d, "api_usage_logs"), "id", "processing_time_ms", ["endpoint", "api_key_id"]))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_distinct": p4_distinct, "p4_weeks": p4_weeks, "p6_percentiles": p6_percentiles}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.encode(table(spark, d, "documents"), "doc_id", "text", lengths_only=True)
+    items = session.staged(sizes.select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size")), "sizes")
+    capacities = table(spark, d, "context_sizes").select(F.col("size_name").alias("name"), F.col("max_tokens").alias("capacity"))
+    packed = packing.pack(items, capacities)
+    return packed.select(F.col("name").alias("size_name"), "container", F.col("item_id").alias("doc_id"), "piece", "start", "tokens")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "canonical")
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_distinct": p4_distinct, "p4_weeks": p4_weeks, "p6_percentiles": p6_percentiles, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 # words: what stands between is blanked out, then words are taken whole; RE2 has no look-around, so a word is spelled out
 _WORD = r"(?:\p{L}(?:''\p{L})*|\p{Nd}(?:\.\p{Nd})*)+"
@@ -57,12 +78,12 @@ def _words(x: str) -> str:
     return f"array_to_string(regexp_extract_all(replace(lower({x}), '’', ''''), '{_WORD}'), ' ')"
 
 
-_FIELD = r"'(?i)^\s*(level|focus|topic|say|pace)\s*[:=]'"
+_FIELD = r"'(?i)^[\s\p{Z}]*(level|focus|topic|say|pace)[\s\p{Z}]*[:=]'"
 _SAME_TEXT = f"""
 WITH t AS (SELECT DISTINCT 'api_usage_logs' AS origin, id, expected_text AS x FROM api_usage_logs WHERE expected_text IS NOT NULL
   UNION ALL SELECT DISTINCT 'pronunciation_analyses', id, expected_text FROM pronunciation_analyses WHERE expected_text IS NOT NULL),
-w AS (SELECT *, {_words("x")} AS w, list_filter(regexp_split_to_array(x, '[|;\\r\\n]+'), lambda p: regexp_matches(p, '\\S')) AS pieces,
-  CASE WHEN regexp_matches(x, '^\\s*\\{{') THEN TRY_CAST(x AS JSON) END AS j FROM t),
+w AS (SELECT *, {_words("x")} AS w, list_filter(regexp_split_to_array(x, '[|;\\r\\n]+'), lambda p: regexp_matches(p, '[^\\s\\p{{Z}}]')) AS pieces,
+  TRY_CAST(nullif(regexp_replace(x, '^[\\s\\p{{Z}}]*([{{])|[\\s\\p{{Z}}]+$', '\\1', 'g'), x || 'x') AS JSON) AS j FROM t),
 k AS (SELECT origin, id, CASE
   WHEN j IS NOT NULL AND json_type(j) = 'OBJECT' AND len(json_keys(j)) > 0 AND len(list_filter(json_keys(j), lambda k: json_type(j, '$."' || k || '"') <> 'VARCHAR')) = 0
     THEN 'R' || array_to_string(list_sort(list_transform(json_keys(j), lambda k: lower(trim(k)) || chr(2) || {_words("json_extract_string(j, '$.\"' || k || '\"')")})), chr(1))
