@@ -82,3 +82,22 @@ def staged(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataF
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    import shutil
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    d = tempfile.mkdtemp(prefix="veloquent-")
+    atexit.register(_remove_local, d)
+    copy = os.path.join(d, "copy", "veloquent")
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(d, "veloquent"), "zip", os.path.dirname(copy)))
