@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veloquent.plans import training
+from veloquent.plans import training, usage
 
-QUERIES = {**training.QUERIES}
-ORACLES = {**training.ORACLES}
+QUERIES = {**usage.QUERIES, **training.QUERIES}
+ORACLES = {**usage.ORACLES, **training.ORACLES}
