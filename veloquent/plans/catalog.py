@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veloquent.plans import training, usage
+from veloquent.plans import texts, training, usage
 
-QUERIES = {**usage.QUERIES, **training.QUERIES}
-ORACLES = {**usage.ORACLES, **training.ORACLES}
+QUERIES = {**usage.QUERIES, **texts.QUERIES, **training.QUERIES}
+ORACLES = {**usage.ORACLES, **texts.ORACLES, **training.ORACLES}
