@@ -26,3 +26,8 @@ def per_row(f: Callable, kind: str) -> Callable[..., Column]:
         return F.pandas_udf(run, kind)(*cols)
 
     return build
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, where it is used inside a function of an array's elements."""
+    return F.get(F.transform(F.array(value), body), 0)
