@@ -69,14 +69,15 @@ def count_where(totals: DataFrame, any_of: Sequence[Callable[[Column], Column]]
 
     Each is a predicate on a cell, so unions, intersections and differences of any groups come from the totals.
     """
+    has = lambda p: F.exists("cells", lambda c: F.coalesce(p(c), F.lit(False)))  # noqa: E731 - a null group fails every test
     cond = F.lit(True)
     if any_of:
         either = F.lit(False)
         for p in any_of:
-            either = either | F.exists("cells", p)
+            either = either | has(p)
         cond = cond & either
     for p in all_of:
-        cond = cond & F.exists("cells", p)
+        cond = cond & has(p)
     for p in none_of:
-        cond = cond & ~F.exists("cells", p)
+        cond = cond & ~has(p)
     return totals.filter(cond).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_distinct"))
