@@ -49,7 +49,7 @@ def test_same_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+    assert len(catalog.QUERIES[name](spark, DATA).collect()) > 0  # all columns, which a count would prune
 
 
 def test_scans_are_pruned_and_filtered(spark):

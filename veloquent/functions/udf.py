@@ -19,6 +19,10 @@ def _plain(x):
 def per_row(f: Callable, kind: str) -> Callable[..., Column]:
     """A column function of ``f``; built when called, since types are parsed by a session."""
 
+    if kind.startswith("struct"):  # a batch of structs would have to be a data frame; a list of one struct is a value
+        as_list = per_row(lambda *xs: [f(*xs)], f"array<{kind}>")
+        return lambda *cols: F.get(as_list(*cols), 0)
+
     def build(*cols) -> Column:
         def run(*batch: pd.Series) -> pd.Series:
             return pd.Series([f(*map(_plain, row)) for row in zip(*batch)], dtype=object)

@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -108,7 +108,7 @@ def nodes(df: DataFrame, id_col: str, json_col: str, origin: str, root: str, wan
     Scanning, parsing and labelling are one pass without a shuffle, an Arrow batch at a time. Values that are
     null, no complete JSON or hold only ``null`` have no nodes. An object where ``root`` should be an array is
     an array of one; null elements take a position but are no rows. Rows delivered twice give their nodes twice:
-    see ``once_per_node``. Only the id and the JSON column are read, whatever else the table has.
+    see ``node_table``. Only the id and the JSON column are read, whatever else the table has.
     """
     wanted_set = frozenset(wanted) if wanted is not None else None
     without = dict(without or {})
@@ -135,17 +135,17 @@ def nodes(df: DataFrame, id_col: str, json_col: str, origin: str, root: str, wan
     return rows.mapInArrow(run, SCHEMA)
 
 
-def once_per_node(found: DataFrame) -> DataFrame:
-    """Node rows of rows delivered twice, once: a document's labels are the same each time."""
-    return found.dropDuplicates(["origin", "row_id", "pre"])
+LINKS = ("origin", "row_id", "pre", "post", "parent_pre", "pos")
 
 
-def node_table(found: DataFrame, node: str, columns: Mapping[str, str]) -> DataFrame:
-    """The flat table of one node path, its fields cast to the given types; absent and unfit fields are null."""
+def node_table(found: DataFrame, columns: Mapping[str, str], *extra: Column) -> DataFrame:
+    """The flat table of node rows: their links, and their fields cast to the given types (null if absent or unfit).
+
+    A row delivered twice has the same labels both times, so its nodes are taken once here, when they are flat and
+    narrow: neither the documents nor the maps are ever shuffled.
+    """
     f = F.col("fields")
-    return found.filter(F.col("node") == node).select(
-        "origin", "row_id", "pre", "post", "parent_pre", "pos", *[f[c].try_cast(t).alias(c) for c, t in columns.items()]
-    )
+    return found.select(*LINKS, *extra, *[f[c].try_cast(t).alias(c) for c, t in columns.items()]).distinct()
 
 
 def contained(ancestors: DataFrame, descendants: DataFrame) -> DataFrame:

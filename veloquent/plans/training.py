@@ -54,7 +54,7 @@ def _nodes(spark: SparkSession, d: str, want, only_bare_words: bool = False) ->
             bare = {words: "phonemes"} if only_bare_words and words else {}
             x = nested.nodes(table(spark, d, name), "id", column, origin, root, paths, bare)
             found = x if found is None else found.unionByName(x)
-    return nested.once_per_node(found)
+    return found
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,27 +62,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = _nodes(spark, d, lambda w, m: ([w] if w else []) + ([f"{m}.{k}" for k in DETAILS] if m else []), True)
     # scalars in an array have no fields of an object: they are no cases
     objects = found.filter(~F.map_contains_key("fields", ""))
-    return objects.select("origin", F.col("row_id").alias("parent_id"), F.regexp_extract("node", r"([^.]+)$", 1).alias("child"), "pos")
+    return objects.select("origin", F.col("row_id").alias("parent_id"), _kind("child"), "pos").distinct()
+
+
+def _kind(name: str):
+    """The last key of a node's path."""
+    return F.regexp_extract("node", r"([^.]+)$", 1).alias(name)
 
 
 def p7_words(spark: SparkSession, d: str) -> DataFrame:
     x = _nodes(spark, d, lambda w, m: [w] if w else [])
-    kids = F.coalesce(F.col("n_children")["phonemes"], F.lit(0)).alias("n_phonemes")
-    f = F.col("fields")
-    return x.select("origin", "row_id", "pre", "post", "parent_pre", "pos", *[f[c].try_cast(t).alias(c) for c, t in WORD_FIELDS.items()], kids)
+    return nested.node_table(x, WORD_FIELDS, F.coalesce(F.col("n_children")["phonemes"], F.lit(0)).alias("n_phonemes"))
 
 
 def p7_phonemes(spark: SparkSession, d: str) -> DataFrame:
-    x = _nodes(spark, d, lambda w, m: [f"{w}.phonemes"] if w else [])
-    f = F.col("fields")
-    return x.select("origin", "row_id", "pre", "post", "parent_pre", "pos", *[f[c].try_cast(t).alias(c) for c, t in PHONEME_FIELDS.items()])
+    return nested.node_table(_nodes(spark, d, lambda w, m: [f"{w}.phonemes"] if w else []), PHONEME_FIELDS)
 
 
 def p7_details(spark: SparkSession, d: str) -> DataFrame:
     x = _nodes(spark, d, lambda w, m: [f"{m}.{k}" for k in (*DETAILS, "speech_rate_over_time")] if m else [])
-    f = F.col("fields")
-    kind = F.regexp_extract("node", r"([^.]+)$", 1).alias("detail")
-    return x.select("origin", "row_id", kind, "pre", "post", "parent_pre", "pos", *[f[c].try_cast(t).alias(c) for c, t in DETAIL_FIELDS.items()], f[""].try_cast("double").alias("value"))
+    return nested.node_table(x, DETAIL_FIELDS, _kind("detail"), F.col("fields")[""].try_cast("double").alias("value"))
 
 
 _LOGS_ONCE = "(SELECT DISTINCT id, user_id, endpoint, api_key_id, created_at, audio_duration_ms, processing_time_ms FROM api_usage_logs)"
