@@ -82,7 +82,9 @@ def pack(items: DataFrame, capacities: DataFrame, shard_rows: int = SHARD_ROWS)
     whole = x.filter(F.col("container").isNotNull()).select(*out)
     rest = x.filter(F.col("container").isNull()).withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int"))
     rest = rest.select("name", "shard", "tokens", "item_id", "piece", "start", "capacity")
-    rest = rest.repartition(max(1, shards * max(1, len(sizes))), "name", "shard").sortWithinPartitions("name", "shard", F.desc("tokens"), "item_id", "piece")
+    spark = items.sparkSession  # packing costs more than its bytes tell, so the tasks are not left to be merged by size
+    tasks = min(max(1, shards * len(sizes)), 10 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    rest = rest.repartition(tasks, "name", "shard").sortWithinPartitions("name", "shard", F.desc("tokens"), "item_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, bins = None, None

@@ -39,6 +39,12 @@ def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
     return distinct.by_sets(_patterns(spark, d), _SETS, ["day", "tenant_id"])
 
 
+def p4_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The mergeable totals themselves: each pattern of days and tenants as text, and its number of users."""
+    cell = lambda c: F.concat(F.coalesce(c["day"].cast("string"), F.lit("")), F.lit("|"), F.coalesce(c["tenant_id"], F.lit("")))
+    return _patterns(spark, d).select(F.array_join(F.transform("cells", cell), ";").alias("pattern"), "n")
+
+
 def p4_weeks(spark: SparkSession, d: str) -> DataFrame:
     """Distinct users per week: unions of seven days, which the daily counts alone could not give."""
     return distinct.coarser(_patterns(spark, d), lambda c: F.trunc(c["day"], "week"), "week")
@@ -68,7 +74,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_distinct": p4_distinct, "p4_weeks": p4_weeks, "p6_percentiles": p6_percentiles, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_distinct": p4_distinct, "p4_patterns": p4_patterns, "p4_weeks": p4_weeks, "p6_percentiles": p6_percentiles, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 # words: what stands between is blanked out, then words are taken whole; RE2 has no look-around, so a word is spelled out
 _WORD = r"(?:\p{L}(?:''\p{L})*|\p{Nd}(?:\.\p{Nd})*)+"
@@ -101,6 +107,10 @@ SELECT CASE grouping(day) * 2 + grouping(tenant_id) WHEN 3 THEN 'all' WHEN 1 THE
   day, tenant_id, count(DISTINCT user_id) AS n_distinct
 FROM (SELECT CAST(created_at AS DATE) AS day, tenant_id, user_id FROM api_usage_logs WHERE user_id IS NOT NULL)
 GROUP BY GROUPING SETS ((), (day), (tenant_id), (day, tenant_id))""",
+    "p4_patterns": """
+WITH c AS (SELECT DISTINCT user_id, CAST(created_at AS DATE) AS day, tenant_id FROM api_usage_logs WHERE user_id IS NOT NULL),
+u AS (SELECT string_agg(coalesce(CAST(day AS VARCHAR), '') || '|' || coalesce(tenant_id, ''), ';' ORDER BY day NULLS FIRST, tenant_id NULLS FIRST) AS pattern FROM c GROUP BY user_id)
+SELECT pattern, count(*) AS n FROM u GROUP BY pattern""",
     "p4_weeks": """SELECT CAST(date_trunc('week', created_at) AS DATE) AS week, count(DISTINCT user_id) AS n_distinct FROM api_usage_logs WHERE user_id IS NOT NULL GROUP BY ALL""",
     "p6_percentiles": """
 WITH l AS (SELECT DISTINCT id, endpoint, api_key_id, processing_time_ms AS v FROM api_usage_logs WHERE processing_time_ms IS NOT NULL),
