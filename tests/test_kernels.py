@@ -132,6 +132,21 @@ def test_scores_of_words():
     assert scoring.score_words(None, "x") == []
 
 
+def test_scores_of_recordings():
+    s = scoring.score_transcript(["at", "it"], [["æ", "t"], ["ɪ", "t"]], ["æ", "t", "s", "ɪ", "d"])
+    assert [[p["ipa_label"] for p in w["phonemes"]] for w in s] == [["æ", "t", "s"], ["ɪ", "t"]]
+    assert [w["word_score"] for w in s] == [pytest.approx(200 / 3), pytest.approx(97.5)]
+    assert [w["word_score"] for w in scoring.score_transcript(["at"], [["æ", "t"]], ["æ"])] == [92.0]
+    assert [w["word_score"] for w in scoring.score_transcript(["at"], [["æ", "t"]], [])] == [85.0]
+    u = scoring.score_utterance("sit mat", "mat", ["s", "ɪ", "t", "m", "æ", "t"])
+    # the missing word leaves its scores to the next one
+    assert [w["word_score"] for w in u] == [0.0, 100.0] and [p["phoneme_score"] for p in u[1]["phonemes"]] == [100.0] * 3
+    assert scoring.score_utterance("mat", "mat", ["s"], [["m", "æ", "d"]])[0]["word_score"] == pytest.approx(295 / 3)
+    assert scoring.score_utterance("mat", "mat", ["s"], None)[0]["word_score"] == 0.0
+    assert scoring.score_utterance("mat", "mat", [], None, [77.0])[0]["word_score"] == 77.0
+    assert scoring.speech_rate("um well yes", 1.0) == 120.0 and scoring.speech_rate("x", 0) == 0.0 and scoring.speech_rate(None, 5.0) == 0.0
+
+
 def test_gate_moves_forward_only():
     g = scoring.lexical_gate("cat dogs sat cat", "cat dog sat")
     assert [w["heard_at"] for w in g] == [0, 1, 2, None]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
-from veloquent.functions import phonemes
+from veloquent.functions import phonemes, sequence
 from veloquent.functions.udf import per_row
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+'?[A-Za-z0-9]*")
@@ -84,5 +84,72 @@ def lexical_gate(expected: str | None, said: str | None, least: float = 0.9) ->
     return out
 
 
+def score_transcript(words: list[str] | None, expected: list[list[str]] | None, heard: list[str] | None) -> list[dict]:
+    """Words of a transcript scored by the sounds heard in the whole recording.
+
+    One alignment over all words' sounds; each sound goes back to its word, and a sound heard beyond the expected
+    ones scores 0 in the word it follows. Fewer than 3 sounds heard, or under 0.3 of those expected, is no basis
+    for that: then each sound scores a flat 92, and if none was heard each word 85.
+    """
+    words, expected, heard = words or [], [phonemes.normal_ipa(e, split=False) for e in expected or []], heard or []
+    if not heard:
+        return [_flat(w, ["transcribed"], 85.0) for w in words]
+    owner = [k for k, e in enumerate(expected) for _ in e]
+    parts: list[list[dict]] = [[] for _ in expected]
+    if len(heard) < 3 or len(heard) / max(1, len(owner)) < 0.3:
+        parts = [[{"ipa_label": s, "phoneme_score": 92.0} for s in e] for e in expected]
+    elif owner:
+        at = 0
+        pairs = phonemes.align([s for e in expected for s in e], heard)["pairs"]
+        for p in pairs:
+            extra = p["expected"] == phonemes.GAP
+            at += not extra
+            parts[owner[max(at - 1, 0)]].append({"ipa_label": p["recognized"] if extra else p["expected"], "phoneme_score": 0.0 if extra else p["score"]})
+    return [_word(w, parts[k] if k < len(parts) else []) for k, w in enumerate(words)]
+
+
+def score_utterance(expected: str | None, said: str | None, heard: list[str] | None, segments: list[list[str]] | None = None, similarity: list[float] | None = None) -> list[dict]:
+    """Expected words scored by a transcript, the sounds of the whole recording, and those of each word's stretch.
+
+    A word the transcript does not have (see ``lexical_gate``) scores 0, and the scores of the overall alignment
+    that would have been its own stay for the words after it. A word with a similarity to a reference recording
+    takes that for all its sounds. Any other word takes the next scores; if one of them is 0, it is aligned anew
+    with the sounds of its own stretch, and scores 0 if that has none.
+    """
+    words = _TOKEN.findall(expected or "")
+    own = [phonemes.normal_ipa(phonemes.sounds(w)) for w in words]
+    pairs = phonemes.align([s for e in own for s in e], phonemes.normal_ipa(heard, split=False))["pairs"]
+    scores = iter([p["score"] or 0.0 for p in pairs if p["expected"] != phonemes.GAP])
+    of = lambda xs, k: xs[k] if xs and k < len(xs) else None
+    out = []
+    for k, gate in enumerate(lexical_gate(expected, said)):
+        if gate["heard_at"] is None:
+            out.append(_flat(words[k], own[k], 0.0))
+        elif of(similarity, k) is not None:
+            out.append({"word_text": words[k], "word_score": of(similarity, k), "phonemes": [{"ipa_label": s, "phoneme_score": of(similarity, k)} for s in own[k]]})
+        else:
+            got = [{"ipa_label": s, "phoneme_score": next(scores, 0.0)} for s in own[k]]
+            if own[k] and any(p["phoneme_score"] == 0.0 for p in got):
+                again = of(segments, k)
+                got = [{"ipa_label": p["expected"], "phoneme_score": p["score"] or 0.0} for p in phonemes.align(own[k], again)["pairs"] if p["expected"] != phonemes.GAP] if again else _flat("", own[k], 0.0)["phonemes"]
+            out.append(_word(words[k], got))
+    return out
+
+
+def speech_rate(text: str | None, seconds: float | None) -> float:
+    """Words but fillers per minute of speech, to the nearest whole (halves to even); 0 for no speech.
+
+    A filler of two words counts as one, the word at its start.
+    """
+    text = text or ""
+    if not seconds:
+        return 0.0
+    skip = {len(text[: f["start_index"]].split()) for f in sequence.fillers(text)}
+    return float(round(sum(i not in skip for i in range(len(text.split()))) / seconds * 60))
+
+
+score_transcript_udf = per_row(score_transcript, WORDS)
+score_utterance_udf = per_row(score_utterance, WORDS)
+speech_rate_udf = per_row(speech_rate, "double")
 score_words_udf = per_row(score_words, WORDS)
 lexical_gate_udf = per_row(lexical_gate, "array<struct<word:string,heard_at:int>>")

@@ -150,3 +150,12 @@ def band(fluency: Column, lexical: Column, grammar: Column, pronunciation: Colum
     f, lex, g = (F.coalesce(x.cast("double"), F.lit(5.0)) for x in (fluency, lexical, grammar))
     p = clamp(pronunciation / 11.11)
     return {"fluency_coherence": clamp(f), "lexical_resource": clamp(lex), "grammatical_range": clamp(g), "pronunciation": p, "overall_band": clamp(F.bround((f + lex + g + p) / 4 * 2, 0) / 2)}
+
+
+def per_minute(n: Column, seconds: Column) -> Column:
+    """How often per minute; 0 where there is no time."""
+    return F.when(seconds > 0, n / seconds * 60).otherwise(F.lit(0.0))
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    return F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("bigint")

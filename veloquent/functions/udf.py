@@ -13,7 +13,9 @@ def _plain(x):
     """A value as the function wants it: missing values as None, arrays as lists."""
     if x is None or x is pd.NA or (isinstance(x, float) and x != x):
         return None
-    return x.tolist() if hasattr(x, "tolist") else x
+    if hasattr(x, "tolist"):
+        x = x.tolist()
+    return [_plain(v) for v in x] if isinstance(x, list) else x
 
 
 def per_row(f: Callable, kind: str) -> Callable[..., Column]:

@@ -94,7 +94,6 @@ def phoneme_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str, reading: bool) -> DataFrame:
-    """Distinct texts are scored once, then joined to the analyses that hold them."""
     rows = once(table(spark, d, "pronunciation_analyses"), "id", "expected_text", "predicted_text")
     return rows.select("id", F.posexplode(scoring.score_words_udf("expected_text", "predicted_text", F.lit(reading))).alias("pos", "w")).select("id", "pos", "w.*")
 
@@ -107,6 +106,30 @@ def reading_score(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, True).groupBy("id").agg(F.avg("word_score").alias("overall"), F.count(F.lit(1)).alias("n_words"))
 
 
+def _heard(spark: SparkSession, d: str) -> DataFrame:
+    rows = once(table(spark, d, "pronunciation_analyses"), "id", "expected_text", "predicted_text")
+    return rows.join(_labels(spark, d), "id")
+
+
+def transcript_score(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts against the sounds of their scored words."""
+    x = _heard(spark, d).withColumn("words", text.tokens(_C("predicted_text")))
+    sounds = per_row(lambda ws: [phonemes.sounds(w) for w in ws or []], "array<array<string>>")("words")
+    return x.select("id", F.posexplode(scoring.score_transcript_udf("words", sounds, "seq")).alias("pos", "w")).select("id", "pos", "w.word_text", "w.word_score")
+
+
+def utterance_score(spark: SparkSession, d: str) -> DataFrame:
+    scored = scoring.score_utterance_udf("expected_text", "predicted_text", "seq")
+    return _heard(spark, d).select("id", F.posexplode(scored).alias("pos", "w")).select("id", "pos", "w.word_text", "w.word_score")
+
+
+def speech_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Words per minute and fillers per minute of transcribed requests."""
+    logs = once(table(spark, d, "api_usage_logs").filter("predicted_text IS NOT NULL AND audio_duration_ms IS NOT NULL"), "id", "predicted_text", "audio_duration_ms")
+    seconds = _C("audio_duration_ms") / 1000
+    return logs.select("id", scoring.speech_rate_udf("predicted_text", seconds).alias("rate"), text.per_minute(F.size(sequence.fillers_udf("predicted_text")), seconds).alias("fillers_per_minute"))
+
+
 def lexical_gate(spark: SparkSession, d: str) -> DataFrame:
     rows = once(table(spark, d, "pronunciation_analyses"), "id", "expected_text", "predicted_text")
     return rows.select("id", F.posexplode(scoring.lexical_gate_udf("expected_text", "predicted_text")).alias("pos", "w")).select("id", "pos", "w.*")
@@ -226,14 +249,25 @@ def interval_contain(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        phoneme_sequences, diphthong_split, ipa_normalize, diphthong_rebuild, phoneme_map, phoneme_repeats, phoneme_distance, align_phonemes, phoneme_coverage, scripted_score, reading_score,
+        phoneme_sequences, diphthong_split, ipa_normalize, diphthong_rebuild, phoneme_map, phoneme_repeats, phoneme_distance, align_phonemes, phoneme_coverage, scripted_score, reading_score, transcript_score, utterance_score, speech_rate,
         lexical_gate, fillers_phoneme, fillers_both, word_overall_rollup, zero_nonzero_words, attempt_summary, attempt_words, word_phoneme_zip, peak_normalize, noise_gate, cosine_percent,
         pause_gaps, voiced_spans, rate_over_time, spectral_summary, segment_bounds, interval_contain,
     )
 }
 
+_OPEN = "CASE WHEN json_type(j) = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$') AS JSON) ELSE j END"
+_SPOKEN = f"""WITH a AS (SELECT id, TRY_CAST(words AS JSON) AS j FROM (SELECT DISTINCT id, words FROM pronunciation_analyses)), b AS (SELECT id, {_OPEN} AS j FROM a),
+c AS (SELECT id, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN [j] END AS ws FROM b),
+d AS (SELECT id, list_filter(ws, lambda w: json_type(w) = 'OBJECT') AS ws FROM c WHERE ws IS NOT NULL)
+"""
 _V = "(SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos FROM embeddings)"
 ORACLES = {
+    "word_overall_rollup": _SPOKEN + """, e AS (SELECT id, list_transform(ws, lambda w: coalesce(list_avg(list_transform(list_filter(json_extract(w, '$.phonemes[*]'), lambda p: json_extract(p, '$.phoneme_score') IS NOT NULL AND json_type(p, '$.phoneme_score') <> 'NULL'), lambda p: CAST(json_extract(p, '$.phoneme_score') AS DOUBLE))), 0)) AS s FROM d)
+SELECT id, CAST(len(s) AS INT) AS n_words, list_avg(s) AS overall FROM e WHERE len(s) > 0""",
+    "zero_nonzero_words": _SPOKEN + """SELECT id, array_to_string(list_transform(list_filter(ws, lambda w: coalesce(TRY_CAST(json_extract(w, '$.word_score') AS DOUBLE), 0) > 0.01), lambda w: coalesce(json_extract_string(w, '$.word_text'), '')), ' ') AS scored,
+  array_to_string(list_transform(list_filter(ws, lambda w: coalesce(TRY_CAST(json_extract(w, '$.word_score') AS DOUBLE), 0) <= 0.01), lambda w: coalesce(json_extract_string(w, '$.word_text'), '')), ' ') AS zero FROM d WHERE len(ws) > 0""",
+    "phoneme_sequences": _SPOKEN + """SELECT id, array_to_string(list_filter(flatten(list_transform(ws, lambda w: list_transform(json_extract(w, '$.phonemes[*]'), lambda p: json_extract_string(p, '$.ipa_label')))), lambda x: x IS NOT NULL), ' ') AS seq FROM d
+UNION ALL SELECT id, '' FROM c WHERE ws IS NULL""",
     "attempt_summary": "SELECT expected_text, count(*) AS attempts, CAST(sum(CAST(overall_score AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS average FROM (SELECT DISTINCT id, expected_text, overall_score FROM pronunciation_analyses) WHERE expected_text IS NOT NULL AND overall_score IS NOT NULL GROUP BY expected_text",
     "peak_normalize": f"SELECT vec_id, pos, v * 0.9::DOUBLE / max(abs(v)) OVER (PARTITION BY vec_id) AS value FROM {_V}",
     "noise_gate": f"""WITH a AS (SELECT vec_id, pos, v / (max(abs(v)) OVER (PARTITION BY vec_id) + 1e-8::DOUBLE) AS v FROM {_V}), b AS (SELECT vec_id, pos, CASE WHEN abs(v) < 0.2 THEN 0::DOUBLE ELSE v END AS v FROM a)

@@ -99,7 +99,21 @@ g AS (SELECT user_id, min(created_at) AS session_start, max(created_at) AS sessi
   arg_min(id, {{'a': created_at, 'i': id}}) AS first_id, arg_max(id, {{'a': created_at, 'i': id}}) AS last_id FROM s GROUP BY user_id, no)
 """
 
+_DOCS = """
+WITH s AS (SELECT DISTINCT 'api_usage_logs.response_data' AS origin, id, response_data AS x FROM api_usage_logs
+  UNION ALL SELECT DISTINCT 'pronunciation_analyses.words', id, words FROM pronunciation_analyses UNION ALL SELECT DISTINCT 'pronunciation_analyses.speech_metrics', id, speech_metrics FROM pronunciation_analyses),
+t AS (SELECT origin, id, TRY_CAST(x AS JSON) AS j FROM s WHERE x IS NOT NULL),
+o AS (SELECT origin, id, CASE WHEN json_type(j) = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS j FROM t),
+m AS (SELECT origin, id, CASE WHEN origin LIKE '%response_data' THEN json_extract(j, '$.metrics') WHEN origin LIKE '%metrics' THEN j END AS m,
+  CASE WHEN origin LIKE '%response_data' THEN json_extract(j, '$.pronunciation.words') WHEN origin LIKE '%words' THEN j END AS w FROM o),
+c AS (SELECT origin, id, 'words' AS child, w AS v FROM m UNION ALL SELECT origin, id, k, json_extract(m, '$.' || k) FROM m, (SELECT unnest(['discourse_markers', 'pause_details', 'repetitions', 'filler_words_details']) AS k)),
+l AS (SELECT origin, id, child, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN [v] END AS xs FROM c),
+e AS (SELECT origin, id, child, unnest(xs) AS x, CAST(generate_subscripts(xs, 1) - 1 AS INT) AS pos FROM l WHERE xs IS NOT NULL)
+"""
+
 ORACLES = {
+    "p7_found": _DOCS + """SELECT origin, id AS parent_id, child, pos FROM e WHERE json_type(x) = 'OBJECT'
+  AND (child <> 'words' OR coalesce(json_type(x, '$.phonemes'), 'NULL') = 'NULL' OR (json_type(x, '$.phonemes') = 'ARRAY' AND json_array_length(x, '$.phonemes') = 0))""",
     "p2_features": f"""SELECT * FROM (PIVOT {_LOGS_ONCE} ON endpoint USING count(*) AS n, max(created_at) AS last_at,
 CAST(sum(audio_duration_ms) AS BIGINT) AS audio_duration_ms GROUP BY user_id) WHERE user_id IS NOT NULL""",
     "p2_runs": f"""SELECT user_id, endpoint, count(*) AS n, max(created_at) AS last_at, CAST(sum(audio_duration_ms) AS BIGINT) AS audio_duration_ms,
