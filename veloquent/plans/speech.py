@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veloquent.functions import phonemes, scoring, sequence, signal, text
 from veloquent.functions.udf import per_row
 from veloquent.operators import intervals, nested
+from veloquent.plans import texts
 from veloquent.tables import once, table
 
 _C = F.col
@@ -175,7 +176,9 @@ def attempt_summary(spark: SparkSession, d: str) -> DataFrame:
 def attempt_words(spark: SparkSession, d: str) -> DataFrame:
     """Mean score per expected text and word over all its attempts; the same word twice counts as one."""
     words = _spoken(spark, d).join(once(table(spark, d, "pronunciation_analyses"), "id", "expected_text"), "id")
-    return words.select("expected_text", F.explode("words").alias("w")).groupBy("expected_text", "w.word_text").agg(F.avg("w.word_score").alias("average"), F.count(F.lit(1)).alias("n"))
+    x = words.select("expected_text", F.explode("words").alias("w")).groupBy("expected_text", "w.word_text")
+    scores = F.col("w.word_score").cast("decimal(18,6)")  # summed exactly, so the order does not matter
+    return x.agg(F.when(F.count(scores) > 0, F.sum(scores).cast("double") / F.count(scores)).alias("average"), F.count(F.lit(1)).alias("n"))
 
 
 def word_phoneme_zip(spark: SparkSession, d: str) -> DataFrame:
@@ -260,6 +263,35 @@ _SPOKEN = f"""WITH a AS (SELECT id, TRY_CAST(words AS JSON) AS j FROM (SELECT DI
 c AS (SELECT id, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN [j] END AS ws FROM b),
 d AS (SELECT id, list_filter(ws, lambda w: json_type(w) = 'OBJECT') AS ws FROM c WHERE ws IS NOT NULL)
 """
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _lookup(pairs: dict[str, str], x: str, otherwise: str = "NULL") -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in pairs.items()) + f" ELSE {otherwise} END"
+
+
+def _replaced(x: str) -> str:
+    for a, b in phonemes.ESPEAK:
+        x = f"replace({x}, {_text(a)}, {_text(b)})"
+    return x
+
+
+def _each(body: str) -> str:
+    return f"array_to_string(list_filter(list_transform(seq, lambda p: {body}), lambda x: x IS NOT NULL), ' ')"
+
+
+def _in(xs) -> str:
+    return ", ".join(map(_text, sorted(xs)))
+
+
+_SEQ = _SPOKEN + """, q AS (SELECT id, list_filter(flatten(list_transform(ws, lambda w: list_transform(json_extract(w, '$.phonemes[*]'), lambda p: json_extract_string(p, '$.ipa_label')))), lambda x: x IS NOT NULL) AS seq FROM d
+  UNION ALL SELECT id, CAST([] AS VARCHAR[]) FROM c WHERE ws IS NULL)
+"""
+_BACK = {v: k for k, v in reversed(phonemes.ARPABET.items())}
+_BASE = "CASE WHEN ends_with(trim(p), 'ː') THEN left(trim(p), length(trim(p)) - 1) ELSE trim(p) END"
+_VALUES = lambda table: ", ".join("(" + ", ".join(map(_text, (k, *v))) + ")" for k, v in table.items())
+_INVENTORY = sorted({*phonemes._VOWELS, *phonemes._CONSONANTS, *phonemes._GROUPS} - {phonemes.GAP})
 _V = "(SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos FROM embeddings)"
 ORACLES = {
     "word_overall_rollup": _SPOKEN + """, e AS (SELECT id, list_transform(ws, lambda w: coalesce(list_avg(list_transform(list_filter(json_extract(w, '$.phonemes[*]'), lambda p: json_extract(p, '$.phoneme_score') IS NOT NULL AND json_type(p, '$.phoneme_score') <> 'NULL'), lambda p: CAST(json_extract(p, '$.phoneme_score') AS DOUBLE))), 0)) AS s FROM d)
@@ -274,6 +306,31 @@ UNION ALL SELECT id, '' FROM c WHERE ws IS NULL""",
 SELECT vec_id, pos, v * 0.9::DOUBLE / max(abs(v)) OVER (PARTITION BY vec_id) AS value FROM b""",
     "cosine_percent": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id, list_dot_product(a.v, b.v) AS ab, list_dot_product(a.v, a.v) AS aa, list_dot_product(b.v, b.v) AS bb FROM e a JOIN e b ON b.vec_id + 1 = a.vec_id)
 SELECT vec_id, CASE WHEN aa > 0 AND bb > 0 THEN (greatest(-1::DOUBLE, least(1::DOUBLE, ab / (sqrt(aa) * sqrt(bb)))) + 1) / 2 * 100 END AS percent FROM p""",
+    "diphthong_split": _SEQ + "SELECT id, " + _each(_lookup({k: " ".join(v) for k, v in phonemes.SPLITS.items()}, "p", "p")) + " AS seq FROM q",
+    "phoneme_repeats": _SEQ + """, r AS (SELECT id, len(seq) AS k, CASE WHEN len(seq) = 0 THEN 0 ELSE 1 + len(list_filter(range(2, len(seq) + 1), lambda i: seq[i] <> seq[i - 1])) END AS n FROM q)
+SELECT id, n < k AS repeats, CAST(n AS INT) AS n FROM r""",
+    "phoneme_map": _SEQ + f"""SELECT id, {_each(f"CASE WHEN ends_with(trim(p), 'ː') AND left(trim(p), length(trim(p)) - 1) IN ({_in(phonemes.KEEPS_LENGTH)}) THEN trim(p) ELSE {_lookup(phonemes.OXFORD, _BASE, _BASE)} END")} AS oxford,
+  {_each(_replaced("p"))} AS espeak, {_each(f"CASE WHEN p IN ({_in(phonemes.KNOWN)}) THEN p WHEN p IN ('a', 'e', 'i', 'o', 'u') THEN 'ə' WHEN regexp_full_match(p, '[[:alpha:]]|\\p{{L}}') THEN p END")} AS known,
+  {_each(_lookup(_BACK, "p"))} AS arpabet, {_each(_lookup({k: phonemes.ARPABET[v] for k, v in _BACK.items()}, "p"))} AS back, {_each(f"CASE WHEN trim(p) NOT IN ({_in(phonemes.SILENCE)}) THEN trim(p) END")} AS audible FROM q""",
+    "phoneme_distance": f"""WITH v(s, f1, f2, f3) AS (VALUES {_VALUES(phonemes._VOWELS)}), k(s, f1, f2, f3) AS (VALUES {_VALUES(phonemes._CONSONANTS)}),
+n(a, b) AS (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in phonemes.SYMBOLS.items())}), g(s, i) AS (VALUES {", ".join(f"({_text(s)}, {i})" for i, x in enumerate(phonemes.ALIASES) for s in sorted(x))}),
+i AS (SELECT s, coalesce(n.b, s) AS m FROM (SELECT unnest([{_in(_INVENTORY)}]) AS s) LEFT JOIN n ON n.a = s),
+x AS (SELECT a.s AS a, b.s AS b, EXISTS (SELECT 1 FROM g p JOIN g q USING (i) WHERE p.s = a.s AND q.s = b.s) AS alias,
+  v1.s IS NOT NULL AND v2.s IS NOT NULL AS vowels, k1.s IS NOT NULL AND k2.s IS NOT NULL AS consonants,
+  0.35::DOUBLE + CASE WHEN v1.f1 = v2.f1 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN v1.f2 = v2.f2 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN v1.f3 = v2.f3 THEN 0.10::DOUBLE ELSE 0 END AS sv,
+  0.30::DOUBLE + CASE WHEN k1.f1 = k2.f1 THEN 0.30::DOUBLE ELSE 0 END + CASE WHEN k1.f2 = k2.f2 THEN 0.30::DOUBLE ELSE 0 END + CASE WHEN k1.f3 = k2.f3 THEN 0.10::DOUBLE ELSE 0 END AS sk
+  FROM i a CROSS JOIN i b LEFT JOIN v v1 ON v1.s = a.m LEFT JOIN v v2 ON v2.s = b.m LEFT JOIN k k1 ON k1.s = a.m LEFT JOIN k k2 ON k2.s = b.m)
+SELECT a, b, CASE WHEN a = b THEN 0::DOUBLE WHEN alias THEN 0.05::DOUBLE WHEN vowels THEN 1::DOUBLE - least(sv, 0.98::DOUBLE) WHEN consonants THEN 1::DOUBLE - least(sk, 0.95::DOUBLE) ELSE 1::DOUBLE - 0.15::DOUBLE END AS distance FROM x""",
+    "attempt_words": _SPOKEN + """, t AS (SELECT DISTINCT id, expected_text FROM pronunciation_analyses), x AS (SELECT expected_text, unnest(ws) AS w FROM d JOIN t USING (id)),
+y AS (SELECT expected_text, json_extract_string(w, '$.word_text') AS word_text, TRY_CAST(json_extract_string(w, '$.word_score') AS DECIMAL(18,6)) AS s FROM x)
+SELECT expected_text, word_text, CASE WHEN count(s) > 0 THEN CAST(sum(s) AS DOUBLE) / count(s) END AS average, count(*) AS n FROM y GROUP BY expected_text, word_text""",
+    "voiced_spans": f"""WITH a AS (SELECT vec_id, pos, v * v >= 0.1::DOUBLE * max(v * v) OVER (PARTITION BY vec_id) AS loud FROM {_V}), b AS (SELECT vec_id, pos, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS run FROM a WHERE loud)
+SELECT vec_id, CAST(min(pos) AS DOUBLE) AS start, CAST(max(pos) + 1 AS DOUBLE) AS "end" FROM b GROUP BY vec_id, run""",
+    "interval_contain": texts._W + """, b AS (SELECT *, trim(lower(word), '.,!?') AS b FROM o), c AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM b),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+u AS (SELECT doc_id, min(b) AS label, CAST(min(start) AS DOUBLE) AS s, CAST(max(start + length(word)) AS DOUBLE) AS e FROM r GROUP BY doc_id, run HAVING count(*) > 1),
+i AS (SELECT doc_id, word AS label, CAST(start AS DOUBLE) AS s, CAST(start + length(word) AS DOUBLE) AS e FROM o WHERE regexp_replace(lower(word), '[^a-z0-9'']+', '', 'g') NOT IN ('', 'sil', 'sp'))
+SELECT u.doc_id, u.label AS outer_label, u.s AS outer_start, u.e AS outer_end, i.label AS inner_label, i.s AS inner_start, i.e AS inner_end FROM u JOIN i ON u.doc_id = i.doc_id AND i.s + 0.0001 >= u.s AND i.e - 0.0001 <= u.e""",
     "pause_gaps": f"""WITH a AS (SELECT vec_id, pos, lag(pos) OVER (PARTITION BY vec_id ORDER BY pos) AS last FROM {_V} WHERE abs(v) >= 0.1)
 SELECT vec_id, CAST(last + 1 AS DOUBLE) AS start, CAST(pos - last - 1 AS DOUBLE) AS duration FROM a WHERE pos - last - 1 >= 2""",
     "segment_bounds": """WITH a AS (SELECT DISTINCT id, audio_duration_ms AS ms FROM api_usage_logs WHERE audio_duration_ms IS NOT NULL),

@@ -135,6 +135,18 @@ def _split(x: str) -> str:
     return f"list_filter(string_split({_collapse(x)}, ' '), lambda w: w <> '')"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+
+
+_ENDINGS = (("ies", 3, 3, "y"), ("es", 2, 2, ""), ("s", 1, 1, ""), ("ed", 2, 2, ""), ("ed", 2, 1, ""), ("ing", 4, 3, ""), ("ing", 4, 3, "e"), ("er", 3, 2, ""))
+_BANDS = """WITH a AS (SELECT id, CAST(overall_score AS DOUBLE) AS s, TRY_CAST(speech_metrics AS JSON) AS j, TRY_CAST(grammar_analysis AS JSON) AS g FROM (SELECT DISTINCT id, overall_score, speech_metrics, grammar_analysis FROM pronunciation_analyses)),
+b AS (SELECT id, s, CASE WHEN json_type(j) = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS j, g FROM a),
+c AS (SELECT id, s, TRY_CAST(json_extract_string(j, '$.speech_rate') AS DOUBLE) AS r, coalesce(TRY_CAST(json_extract_string(j, '$.filler_words') AS INT), 0) AS n, coalesce(TRY_CAST(json_extract_string(j, '$.pauses') AS INT), 0) AS p,
+  TRY_CAST(json_extract_string(g, '$.lexical_band_score') AS DOUBLE) AS lexical, TRY_CAST(json_extract_string(g, '$.grammar_score') AS DOUBLE) AS grammar FROM b),
+f AS (SELECT id, s, lexical, grammar, CASE WHEN r IS NOT NULL THEN greatest(1, least(9, round_even(5 + CASE WHEN r BETWEEN 150 AND 200 THEN 1 WHEN r < 100 OR r > 250 THEN -1 ELSE 0 END
+  + CASE WHEN n <= 2 THEN 0.5 WHEN n > 5 THEN -1 ELSE 0 END + CASE WHEN p <= 1 THEN 0.5 WHEN p > 3 THEN -0.5 ELSE 0 END, 0))) END::DOUBLE AS fluency FROM c)
+"""
 _W = f"""WITH a AS (SELECT doc_id, {_split("text")} AS ws FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM a),
 o AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w)
@@ -169,4 +181,12 @@ c AS (SELECT doc_id, n, least({_cuts((2.5, 5.5, 6.5, 9.0))}::DOUBLE, {_cuts(('0.
   least(9::DOUBLE, {_cuts((2, 3, 3.5, 4, 5), (10, 20, 30, 50))}::DOUBLE + (CASE WHEN n >= 75 THEN 1 ELSE 0 END + CASE WHEN n >= 120 THEN 1 ELSE 0 END + CASE WHEN n >= 180 THEN 0.5 ELSE 0 END)::DOUBLE) AS task,
   least({_cuts((4, 5, 6, 9))}::DOUBLE, {_cuts((2.5, 3, 4, 5))}::DOUBLE + CASE WHEN n >= 30 THEN least(2.5::DOUBLE, cr * 4::DOUBLE) ELSE least(0.5::DOUBLE, cr * 2::DOUBLE) END) AS coherence FROM b)
 SELECT *, lexical * 0.25::DOUBLE + grammar * 0.25::DOUBLE + task * 0.25::DOUBLE + coherence * 0.25::DOUBLE AS overall FROM c""",
+    "reading_match": f"SELECT DISTINCT id, {_strip('lower(expected_text)')} = {_strip('lower(predicted_text)')} AS same FROM pronunciation_analyses",
+    "word_variants": f"""WITH w AS (SELECT DISTINCT regexp_replace(lower(unnest(regexp_extract_all(coalesce(text, ''), '{text.TOKEN.replace(chr(39), chr(39) * 2)}'))), '[^a-z0-9'']+', '', 'g') AS word FROM documents),
+v AS (SELECT word, [word, {", ".join(f"CASE WHEN word LIKE '%{e}' AND length(word) > {k} THEN left(word, length(word) - {n}) || '{a}' END" for e, k, n, a in _ENDINGS)}] AS fs FROM w),
+u AS (SELECT word, unnest(fs) AS f, generate_subscripts(fs, 1) AS k FROM v)
+SELECT w.word, coalesce(string_agg(f, ' ' ORDER BY k), '') AS forms FROM w LEFT JOIN (SELECT word, f, min(k) AS k FROM u WHERE f <> '' GROUP BY word, f) USING (word) GROUP BY w.word""",
+    "fluency_score": _BANDS + "SELECT id, fluency FROM f WHERE fluency IS NOT NULL",
+    "ielts_band": _BANDS + """, g AS (SELECT id, coalesce(fluency, 5) AS f, coalesce(lexical, 5) AS l, coalesce(grammar, 5) AS g, greatest(1, least(9, s / 11.11::DOUBLE)) AS p FROM f WHERE s IS NOT NULL)
+SELECT id, greatest(1, least(9, f)) AS fluency_coherence, greatest(1, least(9, l)) AS lexical_resource, greatest(1, least(9, g)) AS grammatical_range, p AS pronunciation, greatest(1, least(9, round_even((f + l + g + p) / 4 * 2, 0) / 2)) AS overall_band FROM g""",
 }
