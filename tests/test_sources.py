@@ -9,9 +9,10 @@ from datetime import datetime, timedelta, timezone
 import numpy as np
 from pyspark.sql import functions as F
 
+from veloquent.functions import hooks
 from veloquent.operators import intervals, ratelimit, upsert
 from veloquent.sources import audio, introspect, payload, sinks, textgrid
-from veloquent.streaming import counters
+from veloquent.streaming import admission, counters
 
 T0 = datetime(2025, 1, 31, 23, 0, tzinfo=timezone.utc)
 
@@ -165,6 +166,34 @@ def test_stream_counts_each_row_once(spark, tmp_path):
     assert [r["id"] for r in spark.read.parquet(str(last)).collect()] == ["z"]
 
 
+def test_stream_admission_equals_batch(spark, tmp_path):
+    r = random.Random(3)
+    limits = {"a": (2, 25, 40), "b": (3, 40, 45)}
+    rows = sorted(((f"i{n:04d}", r.choice(["a", "b", "none"]), T0 + timedelta(seconds=20 * r.randint(0, 450) + 86400 * r.randint(0, 2))) for n in range(600)), key=lambda x: (x[2], x[0]))
+    kind = "id string, api_key_id string, created_at timestamp"
+    for k in range(3):  # three batches, in order of time
+        spark.createDataFrame(rows[200 * k : 200 * (k + 1)], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
+    keys = spark.createDataFrame([(k, *v) for k, v in limits.items()], "id string, minute_limit int, daily_limit int, monthly_limit int")
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        for f in (tmp_path / f"in{k}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{k}-{f.name}")
+        logs = counters.log_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], kind).schema)
+        q = admission.decisions(logs, keys).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {x["id"]: x["denied_by"] for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {x["id"]: x["denied_by"] for x in ratelimit.decisions(spark.createDataFrame(rows, kind), keys).collect()}
+    assert got == want and {"minute", "day", "month", None} <= set(got.values())
+
+
+def test_model_hook(spark):
+    def load():
+        return lambda texts: [[t.upper()] for t in texts]
+
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "t string")
+    assert sorted(str(r[0]) for r in df.select(hooks.model_column(load, "array<string>")("t")).collect()) == ["None", "['A']", "['B']"]
+
+
 def test_catalog(spark):
     introspect.register(spark, "/root/testdata/sf0.001", ["tenants"])
     assert introspect.columns(spark, ["tenants"]).first()["column_name"] == "id"

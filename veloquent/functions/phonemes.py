@@ -157,17 +157,18 @@ def coverage(expected: Column, recognized: Column) -> Column:
 # -- sequences ----------------------------------------------------------------------------------------------------
 
 
+@lru_cache(1 << 14)
+def _normal(p: str) -> str:
+    q = "".join(c for c in unicodedata.normalize("NFD", p) if not unicodedata.combining(c) and c not in "ːˑ")
+    for a, b in RESPELL:
+        q = q.replace(a, b)
+    return q
+
+
 def normal_ipa(seq: list[str] | None, split: bool = True) -> list[str]:
     """Symbols without marks and length, respelled in order; diphthongs split first unless asked not to."""
-    out = []
-    for p in seq or []:
-        for q in SPLITS.get(p, [p]) if split else [p]:
-            q = "".join(c for c in unicodedata.normalize("NFD", q) if not unicodedata.combining(c) and c not in "ːˑ")
-            for a, b in RESPELL:
-                q = q.replace(a, b)
-            if q:
-                out.append(q)
-    return out
+    parts = (q for p in seq or [] for q in (SPLITS.get(p, (p,)) if split else (p,)))
+    return [q for q in map(_normal, parts) if q]
 
 
 def _merged(seq: list[str], pairs: dict[tuple[str, str], str]) -> list[str]:
@@ -265,32 +266,47 @@ def distance(a: str, b: str) -> float:
     return 1.0 - 0.15
 
 
+@lru_cache(1 << 16)
+def _cost(a: str, b: str) -> float:
+    return 1.0 - (1.0 - distance(a, b))
+
+
 def align(expected: list[str] | None, recognized: list[str] | None) -> dict:
     """Global alignment: the percent score of each expected symbol, and the pairs with ∅ for a gap.
 
     Ties prefer a match, then a deletion. Symbols recognized before the first expected one are not in the pairs;
-    later insertions are, without a score.
+    later insertions are, without a score. Short sequences (words) are remembered, as words recur.
     """
-    e, r = expected or [], recognized or []
-    if not e:
-        return {"scores": [], "pairs": []}
+    e, r = tuple(expected or ()), tuple(recognized or ())
+    pairs = _short(e, r) if len(e) + len(r) <= 24 else _pairs(e, r)
+    return {"scores": [s for _, _, s in pairs if s is not None], "pairs": [{"expected": a, "recognized": b, "score": s} for a, b, s in pairs]}
+
+
+def _pairs(e: tuple[str, ...], r: tuple[str, ...]) -> list[tuple]:
+    if e == r:  # all matches cost nothing, and ties prefer them
+        return [(p, p, 100.0) for p in e]
     m = len(r)
     above = [0.0]
     for _ in r:
         above.append(above[-1] - GAP_COST)
     moves = []
     for p in e:
-        row, move = [above[0] - GAP_COST], ["d"]
-        for j in range(m):
-            match, delete, insert = above[j] - (1.0 - (1.0 - distance(p, r[j]))), above[j + 1] - GAP_COST, row[j] - GAP_COST
-            best = max(match, delete, insert)
+        corner, left = above[0], above[0] - GAP_COST
+        row, move = [left], ["d"]
+        for q, up in zip(r, above[1:]):
+            best, step = corner - _cost(p, q), "m"
+            if up - GAP_COST > best:
+                best, step = up - GAP_COST, "d"
+            if left - GAP_COST > best:
+                best, step = left - GAP_COST, "i"
             row.append(best)
-            move.append("m" if best == match else "d" if best == delete else "i")
+            move.append(step)
+            corner, left = up, best
         moves.append(move)
         above = row
     pairs, i, j = [], len(e), m
     while i > 0:
-        step = moves[i - 1][j] if j else "d"
+        step = moves[i - 1][j]
         if step == "m":
             i, j = i - 1, j - 1
             pairs.append((e[i], r[j], (1.0 - distance(e[i], r[j])) * 100.0))
@@ -301,7 +317,10 @@ def align(expected: list[str] | None, recognized: list[str] | None) -> dict:
             j -= 1
             pairs.append((GAP, r[j], None))
     pairs.reverse()
-    return {"scores": [s for _, _, s in pairs if s is not None], "pairs": [{"expected": a, "recognized": b, "score": s} for a, b, s in pairs]}
+    return pairs
+
+
+_short = lru_cache(1 << 15)(_pairs)
 
 
 def shown(pairs: list[dict]) -> list[dict]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 from veloquent.functions import phonemes, sequence
 from veloquent.functions.udf import per_row
@@ -17,6 +18,11 @@ def _mean(xs: list[float]) -> float:
     return sum(xs) / len(xs) if xs else 0.0
 
 
+@lru_cache(1 << 14)
+def _sounds(word: str) -> list[str]:
+    return phonemes.normal_ipa(phonemes.sounds(word))
+
+
 def _word(text: str, sounds: list[dict]) -> dict:
     return {"word_text": text, "word_score": _mean([p["phoneme_score"] for p in sounds]), "phonemes": sounds}
 
@@ -34,7 +40,7 @@ def score_words(expected: str | None, said: str | None, reading: bool | None = F
     ones are not scored.
     """
     e, s = _TOKEN.findall(expected or ""), _TOKEN.findall(said or "")
-    es, ss = ([phonemes.normal_ipa(phonemes.sounds(w)) for w in ws] for ws in (e, s))
+    es, ss = ([_sounds(w) for w in ws] for ws in (e, s))
     strict = bool(reading) and (expected or "").lower().strip() != (said or "").lower().strip()
     flat = READING_SCORE if strict else 0.0
     out = []
@@ -65,6 +71,14 @@ def _forms(word: str) -> list[str]:
     return [f for f in dict.fromkeys(forms) if f]
 
 
+@lru_cache(1 << 16)
+def _near(a: str, b: str, least: float) -> bool:
+    """Whether the ratio of equal characters reaches ``least``; by length alone where that cannot."""
+    if a == b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return a == b
+    return SequenceMatcher(None, a, b).ratio() >= least
+
+
 def lexical_gate(expected: str | None, said: str | None, least: float = 0.9) -> list[dict]:
     """For each expected word the place of the first heard word, from the last hit on, that is near enough; or null.
 
@@ -76,7 +90,7 @@ def lexical_gate(expected: str | None, said: str | None, least: float = 0.9) ->
     for raw, w in zip(e, plain(e)):
         hit = None
         for form in _forms(w) if w else []:
-            hit = next((k for k in range(start, len(heard)) if SequenceMatcher(None, form, heard[k]).ratio() >= least), None)
+            hit = next((k for k in range(start, len(heard)) if _near(form, heard[k], least)), None)
             if hit is not None:
                 start = hit + 1
                 break
@@ -117,7 +131,7 @@ def score_utterance(expected: str | None, said: str | None, heard: list[str] | N
     with the sounds of its own stretch, and scores 0 if that has none.
     """
     words = _TOKEN.findall(expected or "")
-    own = [phonemes.normal_ipa(phonemes.sounds(w)) for w in words]
+    own = [_sounds(w) for w in words]
     pairs = phonemes.align([s for e in own for s in e], phonemes.normal_ipa(heard, split=False))["pairs"]
     scores = iter([p["score"] or 0.0 for p in pairs if p["expected"] != phonemes.GAP])
     of = lambda xs, k: xs[k] if xs and k < len(xs) else None
