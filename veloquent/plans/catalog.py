@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veloquent.plans import speech, texts, training, usage
+from veloquent.plans import files, speech, texts, training, usage
 
-QUERIES = {**usage.QUERIES, **texts.QUERIES, **speech.QUERIES, **training.QUERIES}
-ORACLES = {**usage.ORACLES, **texts.ORACLES, **speech.ORACLES, **training.ORACLES}
+QUERIES = {**usage.QUERIES, **texts.QUERIES, **speech.QUERIES, **files.QUERIES, **training.QUERIES}
+ORACLES = {**usage.ORACLES, **texts.ORACLES, **speech.ORACLES, **files.ORACLES, **training.ORACLES}
