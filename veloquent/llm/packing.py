@@ -43,13 +43,37 @@ class SumOfSquares:
         else:
             b = self.bins[best].pop()
             n[best] -= 1
-        left = best - size
+        left = self.left = best - size
         if left:
             n[left] += 1
             self.bins.setdefault(left, []).append(b)
         return b
 
 
+class Shard:
+    """One shard's packing: a bin's items are given out when it is full; what is open at the end is packed once more.
+
+    Items come in random order, in which the rule wastes least over many items. The rest bins are too few for
+    that, so their items are packed anew by falling size, if that takes fewer bins.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.bins = SumOfSquares(capacity)
+        self.open: dict[int, list[tuple]] = {}
+
+    def add(self, item: tuple) -> list[tuple]:
+        """The full bin's (name, *item) if the item, which ends in its size, fills one."""
+        b = self.bins.place(item[-1])
+        self.open.setdefault(b, []).append(item)
+        return [] if self.bins.left else [(str(b), *x) for x in self.open.pop(b)]
+
+    def rest(self) -> list[tuple]:
+        again = SumOfSquares(self.bins.capacity)
+        items = sorted((x for xs in self.open.values() for x in xs), key=lambda x: (-x[-1], x))
+        anew = [(f"r{again.place(x[-1])}", *x) for x in items]
+        return anew if again.made < len(self.open) else [(str(b), *x) for b, xs in self.open.items() for x in xs]
+
+
 def pack(items: DataFrame, capacities: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Assign items (item_id bigint, size int) to containers of each capacity (name string, capacity int).
 
@@ -58,9 +82,9 @@ def pack(items: DataFrame, capacities: DataFrame, shard_rows: int = SHARD_ROWS)
     item is cut. Items of size 0 or null take no space: they go to container ``empty``. Capacities that are
     null or below 1 hold nothing and have no rows.
 
-    Items are spread over shards of about ``shard_rows`` by a hash of their id, each packed on its own in order
-    of falling size (then id), in one pass that holds its open bins only. A shard has each size in its share, so
-    what sharding costs is the open rest of each shard: ``unused`` in the README.
+    Items are spread over shards of about ``shard_rows`` by a hash of their id, and each shard is packed on its own
+    in the order of another hash, in one pass that holds its open bins only. A shard has each size in its share, so
+    what sharding costs is the few bins that each shard leaves partly filled.
     """
     caps = capacities.filter(F.col("capacity") >= 1).select(F.col("name").cast("string").alias("name"), F.col("capacity").cast("int").alias("capacity"))
     sizes = [(r["name"], r["capacity"]) for r in caps.distinct().take(MOST_CAPACITIES + 1)]
@@ -84,17 +108,35 @@ def pack(items: DataFrame, capacities: DataFrame, shard_rows: int = SHARD_ROWS)
     rest = rest.select("name", "shard", "tokens", "item_id", "piece", "start", "capacity")
     spark = items.sparkSession  # packing costs more than its bytes tell, so the tasks are not left to be merged by size
     tasks = min(max(1, shards * len(sizes)), 10 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    rest = rest.repartition(tasks, "name", "shard").sortWithinPartitions("name", "shard", F.desc("tokens"), "item_id", "piece")
+    order = F.xxhash64(F.lit("order"), "item_id", "piece")
+    rest = rest.repartition(tasks, "name", "shard").sortWithinPartitions("name", "shard", order, "item_id", "piece")
+    schema = pa.schema([("name", pa.string()), ("container", pa.string()), ("item_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int32()), ("tokens", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bins = None, None
+        key, shard, ready = None, None, []
+
+        def give(found: list[tuple]) -> None:
+            ready.extend((key[0], f"{key[1]}-{name}", *x) for name, *x in found)
+
+        def batch() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*ready), schema)], schema=schema)
+            ready.clear()
+            return made
+
         for b in batches:
-            names = []
-            for name, shard, tokens, capacity in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(6).to_pylist()):
-                if (name, shard, capacity) != key:
-                    key, bins = (name, shard, capacity), SumOfSquares(capacity)
-                names.append(f"{shard}-{bins.place(tokens)}")
-            yield pa.record_batch([b.column(0), pa.array(names, pa.string()), b.column(3), b.column(4), b.column(5), b.column(2)], names=out)
+            cols = {n: b.column(n).to_pylist() for n in ("name", "shard", "capacity", "item_id", "piece", "start", "tokens")}
+            for name, number, capacity, *item in zip(*cols.values()):
+                if (name, number, capacity) != key:
+                    if shard:
+                        give(shard.rest())
+                    key, shard = (name, number, capacity), Shard(capacity)
+                give(shard.add(tuple(item)))
+            if len(ready) > 10_000:
+                yield batch()
+        if shard:
+            give(shard.rest())
+        if ready:
+            yield batch()
 
     packed = rest.mapInArrow(run, "name string, container string, item_id long, piece int, start int, tokens int")
     return whole.unionByName(packed)
