@@ -9,22 +9,20 @@ an object's scalar fields are its ``fields``, whatever their names, so nothing i
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = (
-    "origin string, row_id string, node string, pre int, post int, parent_pre int, parent_node string, "
-    "level int, pos int, fields map<string,string>, n_children map<string,int>"
+_NODE = (
+    "node:string,pre:int,post:int,parent_pre:int,parent_node:string,level:int,pos:int,fields:map<string,string>,n_children:map<string,int>"
 )
-_ARROW = pa.schema(
-    [
-        ("origin", pa.string()), ("row_id", pa.string()), ("node", pa.string()), ("pre", pa.int32()), ("post", pa.int32()), ("parent_pre", pa.int32()),
-        ("parent_node", pa.string()), ("level", pa.int32()), ("pos", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("n_children", pa.map_(pa.string(), pa.int32())),
-    ]
-)
+SCHEMA = f"origin string, row_id string, nodes array<struct<{_NODE}>>"
+_ARROW = [
+    pa.field("node", pa.string()), pa.field("pre", pa.int32()), pa.field("post", pa.int32()), pa.field("parent_pre", pa.int32()), pa.field("parent_node", pa.string()), pa.field("level", pa.int32()),
+    pa.field("pos", pa.int32()), pa.field("fields", pa.map_(pa.string(), pa.string())), pa.field("n_children", pa.map_(pa.string(), pa.int32())),
+]
 
 
 def read_document(text: str | None):
@@ -103,49 +101,66 @@ def _length(v) -> int:
 
 
 def nodes(df: DataFrame, id_col: str, json_col: str, origin: str, root: str, wanted: Sequence[str] | None = None, without: Mapping[str, str] | None = None) -> DataFrame:
-    """The node rows (``SCHEMA``) of the documents in ``json_col``.
+    """(origin, row_id, nodes): per document its node rows, packed (``SCHEMA``); documents without any have no row.
 
     Scanning, parsing and labelling are one pass without a shuffle, an Arrow batch at a time. Values that are
     null, no complete JSON or hold only ``null`` have no nodes. An object where ``root`` should be an array is
-    an array of one; null elements take a position but are no rows. Rows delivered twice give their nodes twice:
-    see ``node_table``. Only the id and the JSON column are read, whatever else the table has.
+    an array of one; null elements take a position but are no rows. Only the id and the JSON column are read,
+    whatever else the table has.
     """
     wanted_set = frozenset(wanted) if wanted is not None else None
     without = dict(without or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ends, flat = [], [0], [[] for _ in _ARROW]
+
+        def batch() -> pa.RecordBatch:
+            structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _ARROW)], fields=_ARROW)
+            packed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+            return pa.record_batch([pa.array([origin] * len(ids), pa.string()), pa.array(ids, pa.string()), packed], names=["origin", "row_id", "nodes"])
+
         for b in batches:
-            cols: list[list] = [[] for _ in range(11)]
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 doc = read_document(text)
-                if doc is None:
+                rows = label(doc, root, wanted_set, without) if doc is not None else ()
+                if not rows:
                     continue
-                for row in label(doc, root, wanted_set, without):
-                    cols[0].append(origin)
-                    cols[1].append(rid)
-                    for i, x in enumerate(row):
-                        cols[2 + i].append(x)
-                if len(cols[0]) > 20_000:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
-                    cols = [[] for _ in range(11)]
-            if cols[0]:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+                for row in rows:
+                    for c, x in zip(flat, row):
+                        c.append(x)
+                ids.append(rid)
+                ends.append(len(flat[0]))
+                if ends[-1] > 20_000:
+                    yield batch()
+                    ids, ends, flat = [], [0], [[] for _ in _ARROW]
+        if ids:
+            yield batch()
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(json_col).cast("string").alias("doc")).filter(F.col("doc").isNotNull())
     return rows.mapInArrow(run, SCHEMA)
 
 
-LINKS = ("origin", "row_id", "pre", "post", "parent_pre", "pos")
+def once_per_document(found: DataFrame, columns: Mapping[str, Callable[[Column], Column]], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(origin, row_id, *columns): a row per node, each column made from the node; rows delivered twice count once.
+
+    What travels in the one shuffle is a row per document with the finished columns of its nodes packed in it:
+    neither documents nor maps, and an id once for all its nodes.
+    """
+    packed = F.filter("nodes", keep) if keep else F.col("nodes")
+    slim = found.select("origin", "row_id", F.transform(packed, lambda n: F.struct(*[f(n).alias(c) for c, f in columns.items()])).alias("nodes"))
+    return slim.filter(F.size("nodes") > 0).dropDuplicates(["origin", "row_id"]).select("origin", "row_id", F.inline("nodes"))
 
 
-def node_table(found: DataFrame, columns: Mapping[str, str], *extra: Column) -> DataFrame:
-    """The flat table of node rows: their links, and their fields cast to the given types (null if absent or unfit).
+def node_table(found: DataFrame, types: Mapping[str, str], **extra: Callable[[Column], Column]) -> DataFrame:
+    """The flat table of node rows: their links, and their fields cast to the given types (null if absent or unfit)."""
+    links = {c: (lambda n, c=c: n[c]) for c in ("pre", "post", "parent_pre", "pos")}
+    fields = {c: (lambda n, c=c, t=t: n["fields"][c].try_cast(t)) for c, t in types.items()}
+    return once_per_document(found, links | extra | fields)
 
-    A row delivered twice has the same labels both times, so its nodes are taken once here, when they are flat and
-    narrow: neither the documents nor the maps are ever shuffled.
-    """
-    f = F.col("fields")
-    return found.select(*LINKS, *extra, *[f[c].try_cast(t).alias(c) for c, t in columns.items()]).distinct()
+
+def last_key(n: Column) -> Column:
+    """The last key of a node's path."""
+    return F.regexp_extract(n["node"], r"([^.]+)$", 1)
 
 
 def contained(ancestors: DataFrame, descendants: DataFrame) -> DataFrame:

@@ -61,18 +61,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Words without phonemes and all metric details. The child is the last key of a node's path."""
     found = _nodes(spark, d, lambda w, m: ([w] if w else []) + ([f"{m}.{k}" for k in DETAILS] if m else []), True)
     # scalars in an array have no fields of an object: they are no cases
-    objects = found.filter(~F.map_contains_key("fields", ""))
-    return objects.select("origin", F.col("row_id").alias("parent_id"), _kind("child"), "pos").distinct()
-
-
-def _kind(name: str):
-    """The last key of a node's path."""
-    return F.regexp_extract("node", r"([^.]+)$", 1).alias(name)
+    cases = nested.once_per_document(found, {"child": nested.last_key, "pos": lambda n: n["pos"]}, lambda n: ~F.map_contains_key(n["fields"], ""))
+    return cases.withColumnRenamed("row_id", "parent_id")
 
 
 def p7_words(spark: SparkSession, d: str) -> DataFrame:
-    x = _nodes(spark, d, lambda w, m: [w] if w else [])
-    return nested.node_table(x, WORD_FIELDS, F.coalesce(F.col("n_children")["phonemes"], F.lit(0)).alias("n_phonemes"))
+    return nested.node_table(_nodes(spark, d, lambda w, m: [w] if w else []), WORD_FIELDS, n_phonemes=lambda n: F.coalesce(n["n_children"]["phonemes"], F.lit(0)))
 
 
 def p7_phonemes(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +75,7 @@ def p7_phonemes(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_details(spark: SparkSession, d: str) -> DataFrame:
     x = _nodes(spark, d, lambda w, m: [f"{m}.{k}" for k in (*DETAILS, "speech_rate_over_time")] if m else [])
-    return nested.node_table(x, DETAIL_FIELDS, _kind("detail"), F.col("fields")[""].try_cast("double").alias("value"))
+    return nested.node_table(x, DETAIL_FIELDS, detail=nested.last_key, value=lambda n: n["fields"][""].try_cast("double"))
 
 
 _LOGS_ONCE = "(SELECT DISTINCT id, user_id, endpoint, api_key_id, created_at, audio_duration_ms, processing_time_ms FROM api_usage_logs)"
