@@ -3,9 +3,13 @@
 import json
 import random
 from collections import defaultdict
+from itertools import product
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veloquent.operators import features, nested, rolling, sessions
 from veloquent.plans import training
@@ -166,13 +170,44 @@ def test_p7_cases(spark, tmp_path):
     want += [("pronunciation_analyses.words", "w1", "words", 0), ("pronunciation_analyses.words", "w2", "words", 0), ("pronunciation_analyses.speech_metrics", "w2", "filler_words_details", 0)]
     assert got == sorted(want)
     words = {(r["row_id"], r["pos"]): r for r in training.p7_words(spark, d).collect()}
-    assert words["r0", 0]["n_phonemes"] == 2 and words["r0", 5]["n_phonemes"] == 1 and words["r0", 2]["word_text"] == "b"
-    phones = training.p7_phonemes(spark, d)
-    assert sorted((r["row_id"], r["pos"], r["ipa_label"], r["phoneme_score"]) for r in phones.collect() if r["row_id"] == "r0") == [("r0", 0, "x", 1.5), ("r0", 0, "z", None), ("r0", 1, "y", None)]
-    inside = nested.contained(training.p7_words(spark, d), phones).collect()
-    assert {(r["row_id"], r["ancestor_pre"], r["descendant_pre"]) for r in inside} == {(r["row_id"], r["parent_pre"], r["pre"]) for r in phones.collect()}
+    assert words["r0", 0]["n_phonemes"] == 2 and words["r0", 5]["n_phonemes"] == 1 and words["r0", 2]["word_text"] == "b" and ("r0", 1) not in words
+    phones = training.p7_phonemes(spark, d).collect()
+    assert sorted((r["row_id"], r["word_pos"], r["pos"], r["ipa_label"], r["phoneme_score"]) for r in phones if r["row_id"] == "r0") == [("r0", 0, 0, "x", 1.5), ("r0", 0, 1, "y", None), ("r0", 5, 0, "z", None)]
     values = [r["value"] for r in training.p7_details(spark, d).collect() if r["detail"] == "speech_rate_over_time"]
-    assert sorted(values) == [1.0, 2.0]
+    assert sorted(values) == ["1", "2"]
+    labels = training.p7_labels(spark, d)
+    inside = nested.contained(labels.filter("node = 'words'"), labels.filter("node = 'phonemes'")).collect()
+    assert len(inside) == 2 * 3 + 1  # r0 and its copy r8; the null phoneme of w1 takes a place
+
+
+def test_deep_documents_are_read(spark, tmp_path):
+    deep = 100_000
+    inner = '[' * deep + ']' * deep
+    chain = '{"a":' * deep + "1" + "}" * deep
+    docs = [json.dumps({"metrics": {"repetitions": [{"text": "t"}]}})[:-1] + f', "x": {inner}, "y": {chain}}}', f'{{"pronunciation": {{"words": [{{"word_text": "w", "more": {chain}}}]}}}}', inner, chain, inner[:-1]]
+    d = write(tmp_path, spark, [*docs, json.dumps(docs[1])])
+    o = "api_usage_logs.response_data"
+    got = {tuple(r) for r in training.p7_found(spark, d).collect() if r["origin"] == o}
+    assert got == {(o, "r0", "repetitions", 0), (o, "r1", "words", 0), (o, "r5", "words", 0)}
+    whole = nested.label(nested.read_document(chain), nested.Paths.of("r", ["r" + ".a" * deep]))
+    assert [x[1] - x[0] for x in whole] == [deep]  # a scalar at the very end of the path
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3), x, max_size=4), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON, st.integers(0, 40), st.sampled_from(["", "}", "]", ",", " ", ":", '"', "1", "-", "\x01", "nul"]), st.sampled_from([None, 1]))
+def test_deep_reader_reads_as_the_plain_one(doc, at, noise, indent):
+    good = json.dumps(doc, indent=indent)
+    for text in (good, good[:at] + noise + good[at:], good[:at]):
+        try:
+            want = json.loads(text)
+        except ValueError:
+            with pytest.raises(ValueError):
+                nested.parse_deep(text)
+        else:
+            assert nested.parse_deep(text) == want
 
 
 def test_labels_are_intervals():
@@ -184,13 +219,51 @@ def test_labels_are_intervals():
             return r.choice([1, "s", None, True])
         return {f"k{i}": tree(depth - 1) for i in range(r.randint(0, 3))} if k < 0.7 else [tree(depth - 1) for _ in range(r.randint(0, 3))]
 
+    def count(v):
+        return 1 + sum(map(count, v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()))
+
+    def objects(v, path):
+        """(path, values below) of every object, by recursion."""
+        if isinstance(v, dict):
+            yield path, count(v)
+            for k, x in v.items():
+                yield from objects(x, f"{path}.{k}")
+        elif isinstance(v, list):
+            for x in v:
+                yield from objects(x, path)
+
+    paths = ["root" + "".join(f".{k}" for k in ks) for n in range(6) for ks in product(("top", "k0", "k1", "k2"), repeat=n)]
+    known = nested.Paths.of("root", paths)
     for _ in range(200):
-        rows = nested.label({"top": tree(5)}, "root")
-        spans = [(x[1], x[2]) for x in rows]
-        ends = [e for s in spans for e in s]
+        doc = {"top": tree(5)}
+        rows = nested.label(doc, known)
+        assert [x[2] for x in rows] == sorted(x[2] for x in rows)
+        ends = [e for x in rows for e in x[1:3]]
         assert len(set(ends)) == len(ends)
+        assert all(not (y[1] < x[1] < y[2] < x[2]) for x in rows for y in rows)
+        # an interval is as long as the value has values, and paths lie inside the paths they start with
+        assert sorted((paths[x[0]], (x[2] - x[1] + 1) // 2) for x in rows if not x[4]) == sorted(objects(doc, "root"))
+        few = r.sample(paths, 20)
+        some = nested.label(doc, nested.Paths.of("root", few), False)
+        assert [(few[x[0]], *x[1:5]) for x in some] == [(paths[x[0]], *x[1:5]) for x in rows if paths[x[0]] in few]
         for x in rows:
-            around = [y for y in rows if y[1] < x[1] and x[2] < y[2]]
-            assert len(around) == x[5]
-            assert x[5] == 0 or max(y[1] for y in around) == x[3]
-            assert all(not (y[1] < x[1] < y[2] < x[2]) for y in rows)
+            around = {paths[y[0]] for y in rows if y[1] < x[1] and x[2] < y[2]}
+            assert all(paths[x[0]].startswith(p) for p in around)
+
+
+def test_families_and_childless_by_brute_force(spark):
+    r = random.Random(5)
+    docs = [{"w": [r.choice([None, 3, {}, {"p": r.choice([None, [], {}, 1, [1], [None], [{}, {"q": [1, 2]}]])}]) for _ in range(r.randint(0, 6))]} for _ in range(60)]
+    df = spark.createDataFrame([(str(i), json.dumps(x)) for i, x in enumerate(docs)], "id string, doc string")
+    found = nested.nodes(df, "id", "doc", "o", "d", ["d.w", None, "d.w.p"])
+    got = found.select("row_id", nested.childless(F.col("nodes"), 0, 2).alias("bare"), nested.families(F.col("nodes"), 0, 2).alias("all")).collect()
+
+    def n_inside(w):
+        p = w.get("p") if isinstance(w, dict) else None
+        return len(p) if isinstance(p, list) else 0 if p is None else 1
+
+    for g in got:
+        ws = docs[int(g["row_id"])]["w"]
+        assert [n["pos"] for n in g["bare"]] == [i for i, w in enumerate(ws) if isinstance(w, dict) and not n_inside(w)]
+        assert [(f["parent"]["pos"], [c["pos"] for c in f["children"]]) for f in g["all"]] == [(i, list(range(n_inside(w)))) for i, w in enumerate(ws)]
+    assert {g["row_id"] for g in got} == {str(i) for i, x in enumerate(docs) if x["w"]}

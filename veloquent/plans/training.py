@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from veloquent.operators import features, nested, rolling, sessions
 from veloquent.tables import table
 
-WORD_FIELDS = {"word_text": "string", "word_score": "double"}
-PHONEME_FIELDS = {"ipa_label": "string", "phoneme_score": "double"}
 DETAILS = ("discourse_markers", "pause_details", "repetitions", "filler_words_details")
 DETAIL_FIELDS = {"text": "string", "start_index": "int", "end_index": "int", "description": "string", "duration": "double", "repeat_count": "int", "phonemes": "string"}
 #: origin -> (table, column, name of the document's root, path of its words, path before its metric details)
@@ -46,43 +44,74 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _sessions(spark, d)
 
 
-def _nodes(spark: SparkSession, d: str, want, only_bare_words: bool = False) -> DataFrame:
+def _nodes(spark: SparkSession, d: str, want, with_fields: bool = True) -> DataFrame:
+    """Packed nodes of all documents; ``kind`` is the place in ``want(words, metrics)``, which lists a path or None each."""
     found = None
     for origin, (name, column, root, words, metrics) in DOCUMENTS.items():
         paths = want(words, metrics)
-        if paths:
-            bare = {words: "phonemes"} if only_bare_words and words else {}
-            x = nested.nodes(table(spark, d, name), "id", column, origin, root, paths, bare)
+        if any(paths):
+            x = nested.nodes(table(spark, d, name), "id", column, origin, root, paths, with_fields)
             found = x if found is None else found.unionByName(x)
     return found
 
 
+def _below(path: str | None, *keys: str) -> list[str | None]:
+    return [path and f"{path}.{k}" for k in keys]
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Words without phonemes and all metric details. The child is the last key of a node's path."""
-    found = _nodes(spark, d, lambda w, m: ([w] if w else []) + ([f"{m}.{k}" for k in DETAILS] if m else []), True)
-    # scalars in an array have no fields of an object: they are no cases
-    cases = nested.once_per_document(found, {"child": nested.last_key, "pos": lambda n: n["pos"]}, lambda n: ~F.map_contains_key(n["fields"], ""))
+    """Words with no phoneme inside their interval, and all objects among the metric details."""
+    found = _nodes(spark, d, lambda w, m: [w, *_below(w, "phonemes"), *_below(m, *DETAILS)], False)
+    details = F.filter("nodes", lambda n: (n["kind"] >= 2) & ~n["scalar"])
+    child = F.array(*map(F.lit, ("words", "phonemes", *DETAILS)))
+    cases = nested.once_per_document(found, F.concat(nested.childless(F.col("nodes"), 0, 1), details), {"child": lambda n: F.get(child, n["kind"]), "pos": lambda n: n["pos"]})
     return cases.withColumnRenamed("row_id", "parent_id")
 
 
+def _words(spark: SparkSession, d: str, with_fields: bool = True) -> DataFrame:
+    """(origin, row_id, nodes, words): each word with its phonemes, by containment; null elements left out."""
+    found = _nodes(spark, d, lambda w, m: [w, *_below(w, "phonemes")], with_fields)
+    return found.withColumn("words", nested.families(F.col("nodes"), 0, 1))
+
+
 def p7_words(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_table(_nodes(spark, d, lambda w, m: [w] if w else []), WORD_FIELDS, n_phonemes=lambda n: F.coalesce(n["n_children"]["phonemes"], F.lit(0)))
+    """Words: place, text, score, number of phonemes. A scalar in place of a word is its text."""
+    real = F.filter("words", lambda w: ~nested.is_null(w["parent"]))
+    text = lambda w: F.coalesce(nested.field("word_text", "string")(w["parent"]), w["parent"]["fields"][""])
+    columns = {"pos": lambda w: w["parent"]["pos"], "word_text": text, "word_score": lambda w: nested.field("word_score", "double")(w["parent"]), "n_phonemes": lambda w: F.size(w["children"])}
+    return nested.once_per_document(_words(spark, d), real, columns)
 
 
 def p7_phonemes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_table(_nodes(spark, d, lambda w, m: [f"{w}.phonemes"] if w else []), PHONEME_FIELDS)
+    """Phonemes: the place of their word, their own, label and score. A scalar in place of a phoneme is its label."""
+    label = lambda n: F.coalesce(nested.field("ipa_label", "string")(n), n["fields"][""])
+    one = lambda w, n: F.struct(w["parent"]["pos"].alias("word_pos"), n["pos"].alias("pos"), label(n).alias("ipa_label"), nested.field("phoneme_score", "double")(n).alias("phoneme_score"))
+    rows = F.flatten(F.transform("words", lambda w: F.transform(F.filter(w["children"], lambda n: ~nested.is_null(n)), lambda n: one(w, n))))
+    return nested.once_per_document(_words(spark, d), rows, {c: (lambda r, c=c: r[c]) for c in ("word_pos", "pos", "ipa_label", "phoneme_score")})
 
 
 def p7_details(spark: SparkSession, d: str) -> DataFrame:
-    x = _nodes(spark, d, lambda w, m: [f"{m}.{k}" for k in (*DETAILS, "speech_rate_over_time")] if m else [])
-    return nested.node_table(x, DETAIL_FIELDS, detail=nested.last_key, value=lambda n: n["fields"][""].try_cast("double"))
+    """Metric details, each with its kind, place and fields; ``value`` holds elements that are scalars."""
+    names = (*DETAILS, "speech_rate_over_time")
+    x = _nodes(spark, d, lambda w, m: _below(m, *names))
+    kinds = F.array(*map(F.lit, names))
+    columns = {"detail": lambda n: F.get(kinds, n["kind"]), "pos": lambda n: n["pos"]} | {c: nested.field(c, t) for c, t in DETAIL_FIELDS.items()} | {"value": nested.field("", "string")}
+    return nested.once_per_document(x, F.filter("nodes", lambda n: ~nested.is_null(n)), columns)
+
+
+def p7_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The interval labels themselves: every word, phoneme and detail with its pre- and post-order number."""
+    names = ("words", "phonemes", *DETAILS, "speech_rate_over_time")
+    x = _nodes(spark, d, lambda w, m: [w, *_below(w, "phonemes"), *_below(m, *names[2:])], False)
+    kinds = F.array(*map(F.lit, names))
+    return nested.once_per_document(x, F.col("nodes"), {"node": lambda n: F.get(kinds, n["kind"])} | {c: (lambda n, c=c: n[c]) for c in ("pre", "post", "pos")})
 
 
 _LOGS_ONCE = "(SELECT DISTINCT id, user_id, endpoint, api_key_id, created_at, audio_duration_ms, processing_time_ms FROM api_usage_logs)"
 
 QUERIES = {
     "p2_features": p2_features, "p2_runs": p2_runs, "p3_trailing": p3_trailing, "p5_found": p5_found, "p5_sessions": p5_sessions,
-    "p7_found": p7_found, "p7_words": p7_words, "p7_phonemes": p7_phonemes, "p7_details": p7_details,
+    "p7_found": p7_found, "p7_words": p7_words, "p7_phonemes": p7_phonemes, "p7_details": p7_details, "p7_labels": p7_labels,
 }
 
 _SESSIONS = f"""
@@ -108,6 +137,20 @@ e AS (SELECT origin, id, child, unnest(xs) AS x, CAST(generate_subscripts(xs, 1)
 ORACLES = {
     "p7_found": _DOCS + """SELECT origin, id AS parent_id, child, pos FROM e WHERE json_type(x) = 'OBJECT'
   AND (child <> 'words' OR coalesce(json_type(x, '$.phonemes'), 'NULL') = 'NULL' OR (json_type(x, '$.phonemes') = 'ARRAY' AND json_array_length(x, '$.phonemes') = 0))""",
+    "p7_words": _DOCS + """SELECT origin, id AS row_id, pos, CASE json_type(x) WHEN 'OBJECT' THEN json_extract_string(x, '$.word_text') ELSE json_extract_string(x, '$') END AS word_text,
+  TRY_CAST(json_extract_string(x, '$.word_score') AS DOUBLE) AS word_score,
+  CAST(CASE coalesce(json_type(x, '$.phonemes'), 'NULL') WHEN 'NULL' THEN 0 WHEN 'ARRAY' THEN json_array_length(x, '$.phonemes') ELSE 1 END AS INT) AS n_phonemes
+FROM e WHERE child = 'words' AND json_type(x) <> 'NULL'""",
+    "p7_phonemes": _DOCS + """, p AS (SELECT origin, id, pos AS word_pos, CASE json_type(x, '$.phonemes') WHEN 'ARRAY' THEN json_extract(x, '$.phonemes[*]') ELSE [json_extract(x, '$.phonemes')] END AS ps
+  FROM e WHERE child = 'words' AND json_type(x) = 'OBJECT' AND json_type(x, '$.phonemes') <> 'NULL'),
+q AS (SELECT origin, id, word_pos, unnest(ps) AS x, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos FROM p)
+SELECT origin, id AS row_id, word_pos, pos, CASE json_type(x) WHEN 'OBJECT' THEN json_extract_string(x, '$.ipa_label') ELSE json_extract_string(x, '$') END AS ipa_label,
+  TRY_CAST(json_extract_string(x, '$.phoneme_score') AS DOUBLE) AS phoneme_score FROM q WHERE json_type(x) <> 'NULL'""",
+    "p7_details": _DOCS.replace("'filler_words_details']", "'filler_words_details', 'speech_rate_over_time']") + """SELECT origin, id AS row_id, child AS detail, pos, json_extract_string(x, '$.text') AS text,
+  TRY_CAST(json_extract_string(x, '$.start_index') AS INT) AS start_index, TRY_CAST(json_extract_string(x, '$.end_index') AS INT) AS end_index, json_extract_string(x, '$.description') AS description,
+  TRY_CAST(json_extract_string(x, '$.duration') AS DOUBLE) AS duration, TRY_CAST(json_extract_string(x, '$.repeat_count') AS INT) AS repeat_count,
+  CASE json_type(x, '$.phonemes') WHEN 'VARCHAR' THEN json_extract_string(x, '$.phonemes') END AS phonemes, CASE WHEN json_type(x) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(x, '$') END AS value
+FROM e WHERE child <> 'words' AND json_type(x) <> 'NULL'""",
     "p2_features": f"""SELECT * FROM (PIVOT {_LOGS_ONCE} ON endpoint USING count(*) AS n, max(created_at) AS last_at,
 CAST(sum(audio_duration_ms) AS BIGINT) AS audio_duration_ms GROUP BY user_id) WHERE user_id IS NOT NULL""",
     "p2_runs": f"""SELECT user_id, endpoint, count(*) AS n, max(created_at) AS last_at, CAST(sum(audio_duration_ms) AS BIGINT) AS audio_duration_ms,
