@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veloquent.operators import features, nested, rolling, sessions
 from veloquent.plans import training
+from veloquent.tables import heavy_keys
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "id string, user_id string, endpoint string, api_key_id string, created_at timestamp, audio_duration_ms int, n int, user string"
@@ -63,15 +64,52 @@ def test_runs_share_one_shuffle_and_stream(spark, rows):
     assert "SortAggregate" in plan
 
 
-def test_features_are_wide(spark, rows):
-    df = features.entity_features(spark.createDataFrame(rows, SCHEMA), "user_id", "endpoint", "created_at", "id", ["audio_duration_ms"])
-    assert df.columns == ["user_id", *[f"{t}_{c}" for t in ("x/y", "z") for c in ("n", "last_at", "audio_duration_ms")]]
-    for g in df.collect():
-        assert g["z_n"] == sum(1 for r in uniq(rows) if r[1] == g["user_id"] and r[2] == "z")
-    empty = features.entity_features(spark.createDataFrame([], SCHEMA), "user_id", "endpoint", "created_at", "id", ["audio_duration_ms"])
+ARGS = ("user_id", "endpoint", "created_at", "id", ["audio_duration_ms", "n"])
+
+
+@pytest.mark.parametrize("heavy", [[], ["hot"]])
+def test_features_are_wide(spark, rows, heavy):
+    df = features.entity_features(spark.createDataFrame(rows, SCHEMA), *ARGS, heavy=heavy)
+    assert df.columns == ["user_id", *[f"{t}_{c}" for t in ("x/y", "z") for c in ("n", "last_at", "audio_duration_ms", "n")]]
+    got = [list(g) for g in df.collect()]
+    assert {g[0] for g in got} == {"hot", "a", "b", "c"} and len(got) == 4
+    for g in got:
+        for k, t in enumerate(("x/y", "z")):
+            mine = [r for r in uniq(rows) if r[1] == g[0] and r[2] == t]
+            ms = [r[5] for r in mine if r[5] is not None]
+            assert [g[1 + 4 * k], utc(g[2 + 4 * k]), g[3 + 4 * k], g[4 + 4 * k]] == [len(mine), max(r[4] for r in mine if r[4]), sum(ms), len(mine)]
+    empty = features.entity_features(spark.createDataFrame([], SCHEMA), *ARGS)
     assert empty.columns == ["user_id"] and empty.count() == 0
 
 
+def test_odd_type_names(spark):
+    odd = ["a.b", "`c`", "", "d e"]
+    df = spark.createDataFrame([("i%d" % i, "u", t, None, T0, i, 1, "") for i, t in enumerate(odd)], SCHEMA)
+    got = features.entity_features(df, "user_id", "endpoint", "created_at", "id", ["audio_duration_ms"])
+    assert got.columns[1::3] == [f"{t}_n" for t in sorted(odd)] and list(got.collect()[0])[3::3] == [odd.index(t) for t in sorted(odd)]
+
+
+def test_a_heavy_user_costs_the_others_no_shuffle(spark, rows):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = features.entity_features(spark.createDataFrame(rows, SCHEMA), *ARGS, types=["x/y", "z"], heavy=["hot"])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    both = plan.index("Filter (isnotnull(user_id#") if "Filter (isnotnull(user_id#" in plan else 0
+    assert sum("REPARTITION_BY_COL" in x for x in lines) == 1  # the ordinary users' only shuffle
+    assert all("_id" in x or "_k" in x or "hashpartitioning(_e" in x for x in lines) and len(lines) <= 4 and both >= 0
+    top = next(x for x in plan.splitlines()[1:] if x.strip())
+    assert "Union" in top  # the wide rows themselves are not shuffled
+
+
+def test_heavy_keys_are_few_and_found(spark):
+    df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 30 + [(None,)] * 90 + [(f"k{i}",) for i in range(20)], "k string")
+    assert heavy_keys(df, "k", share=5, floor=10) == ["a", "b"] and heavy_keys(df, "k", share=3, floor=10) == ["a"]
+    assert heavy_keys(df, "k") == [] and heavy_keys(df.limit(0), "k") == []
+
+
 def test_too_many_types_is_an_error(spark, rows):
     with pytest.raises(ValueError):
         features.event_types(spark.createDataFrame(rows, SCHEMA), "id", 10)
@@ -99,6 +137,12 @@ def test_trailing_of_nothing(spark):
     assert isinstance(date.today(), date)
 
 
+def test_a_stray_date_is_an_error(spark):
+    df = spark.createDataFrame([("i", "u", "e", "k", T0, 1, 1, ""), ("j", "u", "e", "k", T0.replace(year=9999), 1, 1, "")], SCHEMA)
+    with pytest.raises(ValueError, match="stray"):
+        rolling.trailing(df, "api_key_id", "created_at", "id", [])
+
+
 def brute_sessions(rows):
     by = defaultdict(set)
     for i, u, _, _, at, *_ in rows:

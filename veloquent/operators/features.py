@@ -18,50 +18,66 @@ def event_types(df: DataFrame, kind: str, most: int = 2_000) -> list[str]:
     return sorted(found)
 
 
+def _rows(df: DataFrame, entity: str, kind: str, at: str, id_col: str, totals: Sequence[str]) -> DataFrame:
+    values = F.struct(F.col(at).alias("at"), *[F.col(c).cast("bigint").alias(f"t{i}") for i, c in enumerate(totals)])
+    return df.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(kind).alias("_k"), F.col(id_col).alias("_id"), values.alias("_v"))
+
+
+def _streamed(x: DataFrame, n_totals: int) -> DataFrame:
+    # min and max over structs keep Spark with sorted aggregation, which needs constant memory
+    one = x.groupBy("_e", "_k", "_id").agg(F.min("_v").alias("_v"))
+    return one.groupBy("_e", "_k").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("_v.at"))).alias("_last"), *[F.sum(f"_v.t{i}").alias(f"t{i}") for i in range(n_totals)])
+
+
+def _parts(df: DataFrame, entity: str, kind: str, at: str, id_col: str, totals: Sequence[str], heavy: Sequence | None) -> list[DataFrame]:
+    """The runs of all ordinary entities, on their entities' partitions, and those of the heavy ones, if there are any."""
+    rows = _rows(df, entity, kind, at, id_col, totals)
+    heavy = heavy_keys(rows, "_e") if heavy is None else list(heavy)
+    hot = F.col("_e").isin(heavy)
+    cold = rows.filter(~hot) if heavy else rows
+    parts = [_streamed(cold.repartition("_e").sortWithinPartitions("_e", "_k", "_id"), len(totals))]
+    return parts + ([_streamed(rows.filter(hot), len(totals))] if heavy else [])
+
+
 def entity_runs(df: DataFrame, entity: str, kind: str, at: str, id_col: str, totals: Sequence[str], heavy: Sequence | None = None) -> DataFrame:
     """One row per entity and type: ``n``, ``last_at`` and a sum per column of ``totals``.
 
     Events are bucketed by entity and sorted by (entity, type, id); sorted aggregation then streams the
     runs, first over equal ids (a repeated event counts once), then over equal types. Both use the one
-    shuffle by entity. Entities of ``heavy`` (bounded in number, see ``heavy_keys``) are combined before
-    their shuffle instead, so that no task holds one of them whole.
+    shuffle by entity. Entities of ``heavy`` (bounded in number, see ``heavy_keys``) are spread by event and
+    combined before their shuffle instead, so that no task holds one of them whole.
 
     Null entities are no entities and yield no row; a null type is a type of its own; null times and
     totals count as events but add nothing (a sum over nothing but nulls is null).
     """
-    rows = df.filter(F.col(entity).isNotNull()).select(
-        F.col(entity).alias("_e"), F.col(kind).alias("_k"), F.col(id_col).alias("_id"), F.struct(F.col(at).alias("at"), *[F.col(c).cast("bigint").alias(f"t{i}") for i, c in enumerate(totals)]).alias("_v")
-    )
-
-    def streamed(x: DataFrame) -> DataFrame:
-        # min and max over structs keep Spark with sorted aggregation, which needs constant memory
-        one = x.groupBy("_e", "_k", "_id").agg(F.min("_v").alias("_v"))
-        return one.groupBy("_e", "_k").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("_v.at"))).alias("_last"), *[F.sum(f"_v.t{i}").alias(f"t{i}") for i in range(len(totals))]
-        )
-
-    heavy = heavy_keys(rows, "_e") if heavy is None else heavy
-    hot = F.col("_e").isin(list(heavy))
-    cold_rows = rows.filter(~hot) if heavy else rows
-    runs = streamed(cold_rows.repartition("_e").sortWithinPartitions("_e", "_k", "_id"))
-    if heavy:
-        runs = runs.unionByName(streamed(rows.filter(hot)))
+    parts = _parts(df, entity, kind, at, id_col, totals, heavy)
+    runs = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     return runs.select(F.col("_e").alias(entity), F.col("_k").alias(kind), "n", F.col("_last.at").alias("last_at"), *[F.col(f"t{i}").alias(c) for i, c in enumerate(totals)])
 
 
-def entity_features(df: DataFrame, entity: str, kind: str, at: str, id_col: str, totals: Sequence[str], types: Sequence[str] | None = None) -> DataFrame:
+def entity_features(
+    df: DataFrame, entity: str, kind: str, at: str, id_col: str, totals: Sequence[str], types: Sequence[str] | None = None, heavy: Sequence | None = None
+) -> DataFrame:
     """One row per entity with the columns ``<type>_n``, ``<type>_last_at`` and ``<type>_<total>``.
 
     The runs of ``entity_runs`` are already on their entity's partition, so turning them into columns
-    needs no further shuffle. A type an entity never had counts 0; its time and totals are null.
-    ``types`` fixes the columns (other types then stay out); by default all types found, sorted.
+    needs no further shuffle; heavy entities have few runs and get their columns apart, so that they do not
+    take the others' partitioning away. A type an entity never had counts 0; its time and totals are null.
+    ``types`` fixes the columns (other types then stay out); by default all types found, sorted. Events
+    without a type are in no column, but make their entity a row.
     """
     types = event_types(df, kind) if types is None else list(types)
-    runs = entity_runs(df, entity, kind, at, id_col, totals).withColumn("_at", F.unix_micros("last_at"))
-    wide = runs.groupBy(entity).pivot(kind, types).agg(F.sum("n").alias("n"), F.max("_at").alias("last_at"), *[F.sum(c).alias(c) for c in totals])
-    out = [F.col(entity)]
-    for t in types:
-        at_col = F.col(f"`{t}_last_at`")
-        out += [F.coalesce(F.col(f"`{t}_n`"), F.lit(0)).cast("bigint").alias(f"{t}_n"), F.timestamp_micros(at_col).alias(f"{t}_last_at")]
-        out += [F.col(f"`{t}_{c}`").cast("bigint").alias(f"{t}_{c}") for c in totals]
-    return wide.select(*out)
+
+    def wide(runs: DataFrame) -> DataFrame:
+        sums = [F.sum("n").alias("n"), F.max("_at").alias("last_at"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(totals))]]
+        # columns are taken by place: names of types may hold anything
+        x = runs.withColumn("_at", F.unix_micros("_last.at")).groupBy("_e").pivot("_k", types).agg(*sums)
+        x = x.toDF("_e", *[f"c{i}" for i in range(len(x.columns) - 1)])
+        out, at_place = [F.col("_e").alias(entity)], iter(range(len(x.columns)))
+        for t in types:
+            out += [F.coalesce(F.col(f"c{next(at_place)}"), F.lit(0)).cast("bigint").alias(f"{t}_n"), F.timestamp_micros(f"c{next(at_place)}").alias(f"{t}_last_at")]
+            out += [F.col(f"c{next(at_place)}").cast("bigint").alias(f"{t}_{c}") for c in totals]
+        return x.select(*out)
+
+    parts = [wide(x) for x in _parts(df, entity, kind, at, id_col, totals, heavy)]
+    return parts[0].union(parts[1]) if len(parts) > 1 else parts[0]

@@ -35,7 +35,7 @@ def calendar(days: DataFrame, values: Sequence[str], first: date, last: date) ->
     return dense.select("key", "day", *[F.coalesce(hit[v], F.lit(0)).alias(v) for v in values])
 
 
-def trailing(df: DataFrame, key: str, at: str, id_col: str, measures: Sequence[str], windows: Sequence[int] = (7, 30)) -> DataFrame:
+def trailing(df: DataFrame, key: str, at: str, id_col: str, measures: Sequence[str], windows: Sequence[int] = (7, 30), most_days: int = 36_525) -> DataFrame:
     """Per key and day of the calendar, for each window of w days ending that day:
 
     ``requests_<w>d``, ``avg_requests_<w>d`` (per day), and per measure ``<m>_<w>d``, ``avg_<m>_<w>d`` (per
@@ -44,10 +44,13 @@ def trailing(df: DataFrame, key: str, at: str, id_col: str, measures: Sequence[s
     Sums of 1, 2, 4, 8, ... days come from adding a block to itself shifted by its length; a window is the
     sum of the blocks of its binary digits, each shifted past those before it. Each doubling is a lag over
     the same partitioning and order, so that one shuffle and one sort of the daily rows serve all windows.
-    Days before the calendar's first count as days without activity.
+    Days before the calendar's first count as days without activity. A calendar of more than ``most_days`` days
+    is an error, since a single stray date would multiply every key's rows; such rows are for the caller to judge.
     """
     values = ["requests", *[x for m in measures for x in (m, f"{m}_n")]]
     span = df.agg(F.min(F.to_date(at)), F.max(F.to_date(at))).first()  # one row; without any day the calendar is empty
+    if span[0] and (span[1] - span[0]).days >= most_days:
+        raise ValueError(f"{at} runs from {span[0]} to {span[1]}, more than {most_days} days; filter stray dates or raise most_days")
     days = daily(df, key, at, id_col, measures)
     x = calendar(days, values, *span) if span[0] else days.select("key", "day", *values)
     order = Window.partitionBy("key").orderBy("day")

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veloquent import session
+
 _SCHEMA = "user string, first_at timestamp, last_at timestamp, first_id string, last_id string, n long, edge boolean"
 
 
@@ -72,7 +74,8 @@ def sessions(df: DataFrame, user: str, at: str, id_col: str, gap_seconds: int =
     Events are range-partitioned and sorted by (user, time, id), so a user with any share of the rows is
     spread over as many partitions as that share needs; one linear scan per partition then emits sessions
     and holds no more than a batch and the open session. Only the first and last session of a partition
-    can continue in a neighbour; those two per partition are joined by a window over them alone.
+    can continue in a neighbour; those two per partition are joined by a window over them alone, and no other is
+    shuffled. What the scan gives is staged, so that edges and inner sessions come from one and the same partitioning.
 
     An event more than the gap after the user's last one opens a session, one exactly the gap after does
     not. Rows without a user or time are in no session; rows repeated with the same user, time and id count
@@ -82,18 +85,17 @@ def sessions(df: DataFrame, user: str, at: str, id_col: str, gap_seconds: int =
     rows = rows.filter(F.col("user").isNotNull() & F.col("at").isNotNull()).withColumn("id", F.coalesce("id", F.lit("")))
     order = ["user", "at", "id"]
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(gap_seconds * 1_000_000), _SCHEMA)
-    # inner sessions get a group of their own, so the shuffle for the edges spreads them evenly
-    own = F.when(F.col("edge"), F.lit("")).otherwise(F.col("first_id"))
-    w = Window.partitionBy("user", "own", "alone").orderBy("first_at", "first_id")
+    # only a partition's first and last session can go on in a neighbour: those are joined, all others are ready
+    parts = session.staged(parts, "sessions")
+    w = Window.partitionBy("user").orderBy("first_at", "first_id")
     apart = F.col("first_at") > F.lag("last_at").over(w) + F.make_dt_interval(secs=F.lit(gap_seconds))
-    parts = parts.withColumn("own", own).withColumn("alone", F.when(F.col("edge"), F.lit(None).cast("timestamp")).otherwise(F.col("first_at")))
-    marked = parts.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = marked.groupBy("user", "own", "alone", "_no").agg(
-        F.min("first_at").alias("session_start"), F.max("last_at").alias("session_end"), F.sum("n").alias("n_events"),
-        F.min(F.struct("first_at", "first_id")).alias("_a"), F.max(F.struct("last_at", "last_id")).alias("_z"),
+    edges = parts.filter("edge").withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.groupBy("user", "_no").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.min(F.struct("first_at", "first_id")).alias("_a"), F.max(F.struct("last_at", "last_id")).alias("_z"), F.sum("n").alias("n")
     )
-    return joined.select(
-        F.col("user").alias(user), "session_start", "session_end",
-        ((F.unix_micros("session_end") - F.unix_micros("session_start")) / 1e6).alias("duration_seconds"),
-        "n_events", F.col("_a.first_id").alias("first_id"), F.col("_z.last_id").alias("last_id"),
+    columns = ["user", "first_at", "last_at", "first_id", "last_id", "n"]
+    whole = parts.filter("NOT edge").select(*columns).unionByName(joined.select("user", "first_at", "last_at", F.col("_a.first_id").alias("first_id"), F.col("_z.last_id").alias("last_id"), "n"))
+    return whole.select(
+        F.col("user").alias(user), F.col("first_at").alias("session_start"), F.col("last_at").alias("session_end"),
+        ((F.unix_micros("last_at") - F.unix_micros("first_at")) / 1e6).alias("duration_seconds"), F.col("n").alias("n_events"), "first_id", "last_id",
     )

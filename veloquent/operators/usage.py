@@ -56,10 +56,23 @@ def usage_by_key_tenant(keys: DataFrame, bridge: DataFrame, tenants: DataFrame,
     )
 
 
+def _partials(rows: DataFrame, *by: str) -> DataFrame:
+    """Counts and sums of logs by the given columns, endpoint and day: what tenants' figures are made of.
+
+    A key or tenant with any share of the logs shrinks here, in each task before the shuffle and spread over users,
+    endpoints and days in it, before it meets a dimension table.
+    """
+    return rows.groupBy(*by, "endpoint", F.to_date("created_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("processing_time_ms").alias("time"), F.count("processing_time_ms").alias("timed"), F.sum(F.col("audio_duration_ms").cast("bigint")).alias("audio"),
+        F.max("created_at").alias("last"), F.min("created_at").alias("first"),
+    )
+
+
 def _activity() -> list[Column]:
-    return [
-        F.avg("processing_time_ms").alias("avg_processing_time"), F.sum(F.col("audio_duration_ms").cast("bigint")).alias("total_audio_duration_ms"),
-        F.count_distinct(F.to_date("created_at")).alias("active_days"), F.max("created_at").alias("last_activity"),
+    """The figures of ``_partials`` added up."""
+    asked = [F.coalesce(F.sum(F.when(F.col("endpoint") == e, F.col("n"))), F.lit(0)).alias(f"{e}_requests") for e in BY_TENANT]
+    return asked + [
+        (F.sum("time") / F.sum("timed")).alias("avg_processing_time"), F.sum("audio").alias("total_audio_duration_ms"), F.count_distinct("day").alias("active_days"), F.max("last").alias("last_activity"),
     ]
 
 
@@ -70,22 +83,29 @@ def tenant_user_analytics(keys: DataFrame, bridge: DataFrame, tenants: DataFrame
     """
     named = keys.filter("is_active").select(F.col("id").alias("api_key_id")).join(bridge.select("api_key_id", F.col("tenant_id").alias("_t")), "api_key_id", "left")
     named = named.join(tenants.select(F.col("id").alias("_t"), F.col("display_name").alias("tenant_name")), "_t", "left").drop("_t")
-    rows = logs_once(logs.filter(F.col("tenant_id").isNotNull() & F.col("user_id").isNotNull())).join(named, "api_key_id")
-    return rows.groupBy("tenant_id", "tenant_name", "user_id").agg(
-        F.count(F.lit(1)).alias("total_requests"), F.count_distinct("endpoint").alias("unique_endpoints_used"), *_of(BY_TENANT), *_activity(), F.min("created_at").alias("first_activity")
-    ).orderBy(F.desc_nulls_first("total_requests"), "tenant_id", "tenant_name", "user_id")
+    rows = logs_once(logs.filter(F.col("tenant_id").isNotNull() & F.col("user_id").isNotNull()))
+    parts = _partials(rows, "tenant_id", "user_id", "api_key_id").join(named, "api_key_id")
+    return parts.groupBy("tenant_id", "tenant_name", "user_id").agg(F.sum("n").alias("total_requests"), F.count_distinct("endpoint").alias("unique_endpoints_used"), *_activity(), F.min("first").alias("first_activity"))
 
 
 def tenant_summary(keys: DataFrame, bridge: DataFrame, tenants: DataFrame, logs: DataFrame) -> DataFrame:
-    """Active tenants with the usage of all their keys, inactive keys too; an idle tenant counts 1 row per key link."""
+    """Active tenants with the usage of all their keys, inactive keys too; an idle tenant counts 1 row per key link.
+
+    Facts meet the links as partial sums, by an inner join whose skew either side may have; the outer joins are
+    between tenants, links and one row per key.
+    """
     t = tenants.filter(F.col("status") == "active").select(F.col("id").alias("tenant_id"), F.col("display_name").alias("tenant_name"), "subdomain", "status", F.col("created_at").alias("tenant_created_at"))
-    links = bridge.select("tenant_id", "api_key_id").join(keys.select(F.col("id").alias("api_key_id"), F.lit(True).alias("_known")), "api_key_id", "left")
-    links = links.select("tenant_id", F.when(F.col("_known"), F.col("api_key_id")).alias("api_key_id"))
-    rows = logs_once(logs, [c for c in LOG_COLUMNS if c != "tenant_id"])
-    x = t.join(links, "tenant_id", "left").join(rows, "api_key_id", "left")
-    return x.groupBy("tenant_id", "tenant_name", "subdomain", "status", "tenant_created_at").agg(
-        F.count_distinct("user_id").alias("unique_users"), F.count(F.lit(1)).alias("total_requests"), *_of(BY_TENANT), *_activity()
-    ).orderBy(F.desc_nulls_last("total_requests"), "tenant_id")
+    known = keys.select(F.col("id").alias("api_key_id"), F.lit(True).alias("_known"))
+    links = bridge.select("tenant_id", "api_key_id").join(known, "api_key_id", "left").select("tenant_id", F.when(F.col("_known"), F.col("api_key_id")).alias("api_key_id"))
+    links = links.join(t.select("tenant_id"), "tenant_id")
+    rows = logs_once(logs, [c for c in LOG_COLUMNS if c != "tenant_id"]).filter(F.col("api_key_id").isNotNull())
+    parts = _partials(rows, "api_key_id", "user_id")
+    used = parts.join(links, "api_key_id").groupBy("tenant_id").agg(F.count_distinct("user_id").alias("unique_users"), *_activity())
+    per_key = parts.groupBy("api_key_id").agg(F.sum("n").alias("n"))
+    counted = t.select("tenant_id").join(links, "tenant_id", "left").join(per_key, "api_key_id", "left").groupBy("tenant_id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("total_requests"))
+    x = t.join(counted, "tenant_id").join(used, "tenant_id", "left")
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("unique_users", "active_days", *(f"{e}_requests" for e in BY_TENANT))}
+    return x.withColumns(none).select(*t.columns, "unique_users", "total_requests", *[f"{e}_requests" for e in BY_TENANT], "avg_processing_time", "total_audio_duration_ms", "active_days", "last_activity")
 
 
 def daily_totals(keys: DataFrame, facts: DataFrame, key: str, groups: Sequence[str], at: str, totals: dict[str, str]) -> DataFrame:

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from veloquent.operators import features, nested, rolling, sessions
 from veloquent.tables import table
 
+_AREAS = (
+    "admin/analytics", "admin/keys", "admin/tenants", "assignments", "billing", "branding", "classes", "dashboards", "exports", "feedback", "homework", "imports", "lessons", "recordings", "reports", "scores", "students",
+    "teachers", "v2/references", "v2/transcribe",
+)
+_ACTIONS = ("archive", "count", "create", "list", "preview", "remove", "restore", "search", "share", "show", "sync", "update")
+#: the service's endpoints: every area with every action, and the scoring calls
+ENDPOINTS = (*(f"{a}/{b}" for a in _AREAS for b in _ACTIONS), "healthz", "pronunciation", "references/pronunciation", "scripted", "tenants/config", "transcribe", "unscripted", "v2/scripted", "v2/unscripted")
 DETAILS = ("discourse_markers", "pause_details", "repetitions", "filler_words_details")
 DETAIL_FIELDS = {"text": "string", "start_index": "int", "end_index": "int", "description": "string", "duration": "double", "repeat_count": "int", "phonemes": "string"}
 #: origin -> (table, column, name of the document's root, path of its words, path before its metric details)
@@ -19,8 +26,10 @@ DOCUMENTS = {
 
 
 def p2_features(spark: SparkSession, d: str) -> DataFrame:
+    """Columns for all known endpoints, seen or not, and for any others that are found."""
     logs = table(spark, d, "api_usage_logs")
-    return features.entity_features(logs, "user_id", "endpoint", "created_at", "id", ["audio_duration_ms"])
+    types = sorted({*ENDPOINTS, *features.event_types(logs, "endpoint")})
+    return features.entity_features(logs, "user_id", "endpoint", "created_at", "id", ["audio_duration_ms", "processing_time_ms"], types)
 
 
 def p2_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -151,8 +160,9 @@ SELECT origin, id AS row_id, word_pos, pos, CASE json_type(x) WHEN 'OBJECT' THEN
   TRY_CAST(json_extract_string(x, '$.duration') AS DOUBLE) AS duration, TRY_CAST(json_extract_string(x, '$.repeat_count') AS INT) AS repeat_count,
   CASE json_type(x, '$.phonemes') WHEN 'VARCHAR' THEN json_extract_string(x, '$.phonemes') END AS phonemes, CASE WHEN json_type(x) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(x, '$') END AS value
 FROM e WHERE child <> 'words' AND json_type(x) <> 'NULL'""",
-    "p2_features": f"""SELECT * FROM (PIVOT {_LOGS_ONCE} ON endpoint USING count(*) AS n, max(created_at) AS last_at,
-CAST(sum(audio_duration_ms) AS BIGINT) AS audio_duration_ms GROUP BY user_id) WHERE user_id IS NOT NULL""",
+    "p2_features": f"""SELECT * FROM (PIVOT (SELECT user_id, endpoint, created_at, audio_duration_ms, processing_time_ms FROM {_LOGS_ONCE} WHERE user_id IS NOT NULL)
+ON endpoint IN ({", ".join(f"'{e}'" for e in ENDPOINTS)}) USING count(*) AS n, max(created_at) AS last_at, CAST(sum(audio_duration_ms) AS BIGINT) AS audio_duration_ms,
+CAST(sum(processing_time_ms) AS BIGINT) AS processing_time_ms GROUP BY user_id)""",
     "p2_runs": f"""SELECT user_id, endpoint, count(*) AS n, max(created_at) AS last_at, CAST(sum(audio_duration_ms) AS BIGINT) AS audio_duration_ms,
   CAST(sum(processing_time_ms) AS BIGINT) AS processing_time_ms FROM {_LOGS_ONCE} WHERE user_id IS NOT NULL GROUP BY user_id, endpoint""",
     "p3_trailing": f"""

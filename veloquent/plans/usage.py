@@ -26,11 +26,11 @@ def usage_by_key_tenant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tenant_user_analytics(spark: SparkSession, d: str) -> DataFrame:
-    return usage.tenant_user_analytics(*_dims(spark, d))
+    return usage.tenant_user_analytics(*_dims(spark, d)).orderBy(F.desc_nulls_first("total_requests"), "tenant_id", "tenant_name", "user_id")
 
 
 def tenant_summary(spark: SparkSession, d: str) -> DataFrame:
-    return usage.tenant_summary(*_dims(spark, d))
+    return usage.tenant_summary(*_dims(spark, d)).orderBy(F.desc_nulls_last("total_requests"), "tenant_id")
 
 
 def ai_costs_daily(spark: SparkSession, d: str) -> DataFrame:
