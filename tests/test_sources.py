@@ -199,3 +199,23 @@ def test_catalog(spark):
     assert introspect.columns(spark, ["tenants"]).first()["column_name"] == "id"
     assert introspect.views(spark).filter("table_name = 'tenants' AND temporary").count() == 1
     assert introspect.routines(spark, "regexp_extract*").count() >= 2
+
+
+def test_staged_tables_go_with_their_block(spark):
+    from veloquent import session
+
+    with session.staging(spark):
+        df = session.staged(spark.range(5), "block")
+        path = df.inputFiles()[0].rsplit("/", 1)[0]
+        assert df.count() == 5 and session.files(spark, path)
+    assert session.files(spark, path) == []
+
+
+def test_small_files_are_replaced_whole(spark, tmp_path):
+    from veloquent import session
+
+    path = f"file://{tmp_path}/x/manifest.json"
+    for data in (b"", b"one", bytes(range(256)) * 100):
+        session.write_bytes(spark, path, data)
+        assert session.read_bytes(spark, path) == data
+    assert [f for f in session.files(spark, f"file://{tmp_path}/x") if not f.startswith(".")] == ["manifest.json"]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,13 +55,32 @@ def _remove_local(d: str) -> None:
     shutil.rmtree(d, ignore_errors=True)
 
 
+_OPEN: list[list[str]] = []  # paths made inside each open ``staging`` block, innermost last
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing has used, removed when the driver ends."""
+    """A path in the shared folder that nothing has used, removed when its ``staging`` block or the driver ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     atexit.register(delete_path, spark, path)
     return path
 
 
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are removed at its end, for drivers that live long.
+
+    A query's result is read from them, so it has to be used (written, collected) inside the block.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete_path(spark, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder; a session that is gone already leaves it to the cluster."""
     try:
@@ -73,6 +94,47 @@ def delete_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder of the shared file system; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file, over the new name if that exists."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    fs.delete(b, False)
+    if not fs.rename(a, b):
+        raise OSError(f"cannot move {old} to {new}")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file of the shared file system: written beside its name, then renamed, so it is there whole or not at all."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path + ".new")
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    move(spark, path + ".new", path)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
 def staged(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written to the shared folder and read back: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
