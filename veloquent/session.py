@@ -52,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
 def _remove_local(d: str) -> None:
     import shutil
 
+    if os.path.isfile(d):
+        os.unlink(d)
     shutil.rmtree(d, ignore_errors=True)
 
 
