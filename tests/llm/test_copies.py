@@ -79,21 +79,88 @@ def test_found_matches_brute_force(spark, tables):
 
 
 def test_hot_keys_are_broadcast_and_whole(spark, tables):
-    d, want = tables
-    ledger, kept = queries._ledger(spark, d)
-    assert ledger.generation == 4  # null, January, February, March
-    cold = {tuple(x) for x in copies.copies(ledger, kept).collect()}
-    assert {tuple(x) for x in copies.copies(ledger, kept, share=5, floor=1).collect()} == cold
-    plan = copies.copies(ledger, kept, share=5, floor=1)._jdf.queryExecution().executedPlan().toString()
+    ledger = queries._ledger(spark, tables[0])
+    assert ledger.batches == ["2025-01", "2025-02", "2025-03", "none"]
+    cold = {tuple(x) for x in copies.copies(ledger).collect()}
+    assert {tuple(x) for x in copies.copies(ledger, share=5, floor=1).collect()} == cold
+    plan = copies.copies(ledger, share=5, floor=1)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
 
 
-def test_ledger_side_is_not_shuffled(spark, tables):
-    ledger, kept = queries._ledger(spark, tables[0])
-    new = kept.groupBy("key").agg(F.count("*").alias("n")).repartition(ledger.buckets, "key")
-    plan = ledger.read().hint("merge").join(new, "key", "full_outer")._jdf.queryExecution().executedPlan().toString()
-    scan = plan[: plan.index("FileScan")] if "FileScan" in plan else plan
-    assert "Exchange" not in scan.split("SortMergeJoin")[-1]
+def test_neither_side_of_the_ledger_join_is_shuffled(spark, tables):
+    ledger = queries._ledger(spark, tables[0])
+    plan = ledger.read().hint("merge").join(ledger.read().withColumnRenamed("copies", "n"), "key", "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def texts_of(ledger):
+    return {(x["origin"], x["first_id"]): x["copies"] for x in ledger.read().collect()}
+
+
+def rows_of(spark, pairs):
+    """(id, text) as keyed rows."""
+    return copies.keyed(spark.createDataFrame(pairs, "id string, t string"), "o", "id", "t", F.lit("b"))
+
+
+def test_a_ledger_is_kept_up_by_several_sessions(spark, tables, tmp_path):
+    d, want = tables
+    path = f"file://{tmp_path}/ledger"
+    rows = None
+    for n in ("api_usage_logs", "pronunciation_analyses"):
+        x = copies.keyed(spark.read.parquet(f"{d}/{n}.parquet"), n, "id", "expected_text", F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("none")))
+        rows = x if rows is None else rows.unionByName(x)
+    one = copies.Ledger(spark, path, 4)
+    assert one.add(rows.filter("batch = '2025-01'"), "2025-01") and one.add(rows.filter("batch = '2025-02'"), "2025-02")
+    other = spark.newSession()
+    moved = other.createDataFrame(rows.collect(), rows.schema)
+    two = copies.Ledger(other, path)
+    assert two.buckets == 4 and two.batches == ["2025-01", "2025-02"]
+    before = texts_of(two)
+    assert not two.add(moved.filter("batch = '2025-01'"), "2025-01") and texts_of(two) == before  # a batch sent again
+    assert two.add(moved.filter("batch = '2025-01'"), "again under another name") and texts_of(two) == before  # rows sent again
+    for b in ("2025-03", "none"):
+        assert two.add(moved.filter(F.col("batch") == b), b)
+    expected = {(o, min(ids)): len(ids) for (o, _), ids in want.items()}
+    assert texts_of(two) == texts_of(copies.Ledger(spark, path)) == expected
+    assert {tuple(x) for x in copies.copies(two).collect()} == {(o, min(ids), i) for (o, _), ids in want.items() for i in ids if i != min(ids)}
+    assert not [t.name for t in spark.catalog.listTables() if "ledger" in t.name]
+
+
+def test_a_small_batch_rewrites_its_buckets_only(spark, tmp_path):
+    ledger = copies.Ledger(spark, f"file://{tmp_path}/ledger", 16)
+    ledger.add(rows_of(spark, [(f"i{i:03d}", f"text {i}") for i in range(300)]), "a")
+    before = ledger._listed("keys")
+    assert len(before) == 16
+    ledger.add(rows_of(spark, [("h1", "text 7"), ("x1", "TEXT 7.")]), "b")
+    after = ledger._listed("keys")
+    changed = [b for b in before if after[b] != before[b]]
+    assert len(changed) == 1 and set(after) == set(before)
+    got = {r["first_id"]: r["copies"] for r in ledger.read().collect()}
+    assert len(got) == 300 and got["h1"] == 3 and "i007" not in got and got["i008"] == 1
+    ledger.add(rows_of(spark, [(f"j{i:03d}", f"text {i * 7}") for i in range(40)]), "c")  # many buckets, not all keys
+    got = [r["copies"] for r in ledger.read().collect()]
+    assert len(got) == 300 and sum(got) == 342
+
+
+@pytest.mark.parametrize("cut", ["before the commit", "after the commit"])
+def test_a_batch_cut_short(spark, tmp_path, monkeypatch, cut):
+    path = f"file://{tmp_path}/ledger"
+    first, second = rows_of(spark, [("a", "x"), ("b", "y")]), rows_of(spark, [("c", "x"), ("d", "z")])
+    copies.Ledger(spark, path, 3).add(first, "1")
+    ledger = copies.Ledger(spark, path)
+
+    def fail(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(*((copies.session, "write_bytes") if cut.startswith("before") else (copies.Store, "take")), fail)
+        with pytest.raises(OSError):
+            ledger.add(second, "2")
+    again = copies.Ledger(spark, path)
+    assert again.batches == (["1"] if cut.startswith("before") else ["1", "2"])
+    again.add(second, "2")
+    assert texts_of(again) == texts_of(copies.Ledger(spark, path)) == {("o", "a"): 2, ("o", "b"): 1, ("o", "d"): 1}
+    assert again.rows().count() == 4
 
 
 def test_empty_tables(spark, tmp_path):

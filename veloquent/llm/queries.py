@@ -19,12 +19,12 @@ def _ledger(spark: SparkSession, d: str):
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return copies.copies(*_ledger(spark, d))
+    return copies.copies(_ledger(spark, d))
 
 
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     """One record per text, with its number of copies."""
-    return _ledger(spark, d)[0].read().select("origin", "first_id", "copies")
+    return _ledger(spark, d).read().select("origin", "first_id", "copies")
 
 
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
