@@ -148,6 +148,12 @@ def staged(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(spark: SparkSession, df: DataFrame) -> None:
+    """Remove what ``staged`` wrote, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete_path(spark, path)
+
+
 _SHIPPED: set[str] = set()
 
 
