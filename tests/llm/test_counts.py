@@ -59,7 +59,19 @@ def nearest_rank(values, p):
     return values[max(1, (p * len(values) + 99) // 100) - 1]
 
 
-@pytest.mark.parametrize("levels", [1, 4])
+def test_one_identifier_in_very_many_cells(spark):
+    """100,000 cells of one identifier take seconds: each set's groups are told apart by one sort."""
+    import time
+
+    rows = spark.range(100_000).select(F.lit("bot").alias("user_id"), (F.col("id") % 1000).cast("int").alias("day"), F.concat(F.lit("t"), F.col("id") / 1000).alias("tenant"))
+    t = distinct.patterns(distinct.memberships(rows, "user_id", groups()))
+    began = time.time()
+    got = distinct.by_sets(t, [("all", []), ("d", ["day"]), ("t", ["tenant"]), ("dt", ["day", "tenant"])], ["day", "tenant"]).groupBy("kind").agg(F.count("*"), F.sum("n_distinct")).collect()
+    assert time.time() - began < 30
+    assert {tuple(g) for g in got} == {("all", 1, 1), ("d", 1000, 1000), ("t", 100_000, 100_000), ("dt", 100_000, 100_000)}
+
+
+@pytest.mark.parametrize("levels", [1, 4, 8])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_percentiles_are_exact(spark, seed, levels):
     r = random.Random(seed)
@@ -79,6 +91,18 @@ def test_percentiles_are_exact(spark, seed, levels):
     assert {(x["kind"], x["grp"], x["percentile"]): (x["value"], x["n"]) for x in got} == {(*k, p): (nearest_rank(v, p), len(v)) for k, v in want.items() for p in (1, 50, 99, 100)}
 
 
+def test_passes_leave_nothing_behind(spark):
+    from veloquent import session
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("id"), (F.col("id") * 1_000_003).cast("bigint").alias("v"), F.lit("g").alias("g"))
+    with session.staging(spark):
+        before = set(session.files(spark, session.shared_dir(spark)))
+        got = percentiles.percentiles(percentiles.histogram(df, "id", "v", ["g"]), (50,)).collect()
+        left = set(session.files(spark, session.shared_dir(spark))) - before
+        assert got[0]["value"] == 1499 * 1_000_003 and len(left) == 2  # the last pass's two tables
+    assert not left & set(session.files(spark, session.shared_dir(spark)))
+
+
 def test_histograms_merge_and_may_be_empty(spark):
     df = spark.createDataFrame([(f"i{i}", i % 10, "g") for i in range(50)], "id string, v int, g string")
     h = lambda x: percentiles.histogram(x, "id", "v", ["g"])

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veloquent.functions.udf import let
+
 
 def memberships(df: DataFrame, identifier: str, groups: dict[str, Column]) -> DataFrame:
     """(identifier, cells): the sorted set of the group combinations each identifier occurs in.
@@ -17,7 +19,7 @@ def memberships(df: DataFrame, identifier: str, groups: dict[str, Column]) -> Da
     """
     cell = F.struct(*[c.alias(n) for n, c in groups.items()])
     pairs = df.filter(F.col(identifier).isNotNull()).select(F.col(identifier).alias("identifier"), cell.alias("cell")).distinct()
-    return pairs.groupBy("identifier").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    return pairs.groupBy("identifier").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
 
 
 def merge_memberships(*parts: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def merge_memberships(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         all_parts = all_parts.unionByName(p)
     pairs = all_parts.select("identifier", F.explode("cells").alias("cell")).distinct()
-    return pairs.groupBy("identifier").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    return pairs.groupBy("identifier").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
 
 
 def patterns(members: DataFrame) -> DataFrame:
@@ -42,6 +44,11 @@ def merge_patterns(*parts: DataFrame) -> DataFrame:
     return x.groupBy("cells").agg(F.sum("n").alias("n"))
 
 
+def _each_once(xs: Column) -> Column:
+    """The different elements of an array, in order: sorted, then each compared with the one before, however many."""
+    return let(F.sort_array(xs), lambda ys: F.filter(ys, lambda y, i: (i == 0) | ~y.eqNullSafe(F.get(ys, i - 1))))
+
+
 def by_sets(totals: DataFrame, sets: Sequence[tuple[str, Sequence[str]]], names: Sequence[str]) -> DataFrame:
     """Distinct identifiers per value of each grouping set: (kind, *names, n_distinct), as by GROUPING SETS.
 
@@ -52,7 +59,7 @@ def by_sets(totals: DataFrame, sets: Sequence[tuple[str, Sequence[str]]], names:
 
     def entries(kind: str, keep: Sequence[str]) -> Column:
         one = lambda c: F.struct(F.lit(kind).alias("kind"), *[(c[n] if n in keep else F.lit(None).cast(cell_types[n])).alias(n) for n in names])
-        return F.array_distinct(F.transform("cells", one))
+        return _each_once(F.transform("cells", one))
 
     rows = totals.select("n", F.explode(F.concat(*[entries(k, keep) for k, keep in sets])).alias("g")).select("g.*", "n")
     return rows.groupBy("kind", *names).agg(F.sum("n").alias("n_distinct"))
@@ -60,7 +67,7 @@ def by_sets(totals: DataFrame, sets: Sequence[tuple[str, Sequence[str]]], names:
 
 def coarser(totals: DataFrame, groups: Callable[[Column], Column], name: str) -> DataFrame:
     """Distinct identifiers per coarser group of cells (weeks of days, say): (name, n_distinct)."""
-    rows = totals.select("n", F.explode(F.array_distinct(F.transform("cells", groups))).alias(name))
+    rows = totals.select("n", F.explode(_each_once(F.transform("cells", groups))).alias(name))
     return rows.groupBy(name).agg(F.sum("n").alias("n_distinct"))
 
 

@@ -31,35 +31,43 @@ def merge(*parts: DataFrame) -> DataFrame:
     return x.groupBy("kind", "grp", "value").agg(F.sum("n").alias("n"))
 
 
-def percentiles(hist: DataFrame, wanted: Sequence[int] = PERCENTILES, levels: int = 4) -> DataFrame:
+def percentiles(hist: DataFrame, wanted: Sequence[int] = PERCENTILES, levels: int = 8) -> DataFrame:
     """(kind, grp, n, percentile, value): the smallest value that at least p % of the group's rows do not exceed.
 
     The error is zero. For each group and percentile an interval (lo, hi] holds the target rank, with the
     count of rows up to ``lo``. A pass counts the rows between the midpoints of ``levels`` halvings at once,
     keeps the part in which the rank falls, and ends when every interval holds one integer: for a value range
-    of 2**32 after 32/levels passes. Rows outside the open intervals are not counted again. Passes read the
-    staged histogram; each one's intervals are written to the shared folder, which cuts the lineage.
+    of 2**32 after 32/levels passes. Between passes the histogram is cut down to the values that lie in an
+    interval still open, so a pass reads what the last one left undecided.
 
-    Groups are joined to their intervals; Spark broadcasts the intervals only where it measures them small.
+    What a pass leaves is written to the shared folder, which cuts the lineage, and replaces what the pass before
+    it wrote. A group's intervals are one row, so a value meets them once; Spark broadcasts them only where it
+    measures them small.
     """
-    hist = session.staged(hist, "histogram")
+    spark = hist.sparkSession
     parts = 1 << levels
-    ends = hist.groupBy("kind", "grp").agg(F.sum("n").alias("total"), (F.min("value") - 1).alias("lo"), F.max("value").alias("hi"))
-    rank = F.floor((F.col("p") * F.col("total") + 99) / 100)
+    left = session.staged(hist, "histogram")
+    ends = left.groupBy("kind", "grp").agg(F.sum("n").alias("total"), (F.min("value") - 1).alias("lo"), F.max("value").alias("hi"))
+    rank = F.greatest(F.lit(1), F.floor((F.col("p") * F.col("total") + 99) / 100)).cast("bigint")
     state = ends.select("kind", "grp", "total", F.explode(F.array(*[F.lit(p) for p in wanted])).alias("p"), "lo", "hi", F.lit(0).cast("bigint").alias("base"))
-    state = session.staged(state.withColumn("rank", F.greatest(F.lit(1), rank).cast("bigint")), "intervals")
-    while state.filter(F.col("hi") - F.col("lo") > 1).head(1):
-        width = F.col("hi") - F.col("lo")
-        s, h = state.filter(width > 1).alias("s"), hist.alias("h")
-        inside = (F.col("h.value") > F.col("lo")) & (F.col("h.value") <= F.col("hi"))
-        met = h.join(s, F.col("h.kind").eqNullSafe(F.col("s.kind")) & F.col("h.grp").eqNullSafe(F.col("s.grp")) & inside)
+    state = session.staged(state.withColumn("rank", rank), "intervals")
+    width = F.col("hi") - F.col("lo")
+    keys = ["kind", "grp", "total", "p", "lo", "hi", "base", "rank"]
+    edge = lambda i: F.col("lo") + F.floor(width * i / parts).cast("bigint")
+    widest = state.agg(F.max(width)).first()[0] or 0
+    while widest > 1:
+        undecided = state.filter(width > 1).groupBy("kind", "grp").agg(F.collect_list(F.struct(*keys[2:])).alias("open"))  # an entry per percentile
+        s, h = undecided.alias("s"), left.alias("h")
+        met = h.join(s, F.col("h.kind").eqNullSafe(F.col("s.kind")) & F.col("h.grp").eqNullSafe(F.col("s.grp")))
+        holds = lambda o: (F.col("h.value") > o["lo"]) & (F.col("h.value") <= o["hi"])
+        met = met.select("h.kind", "h.grp", "h.value", "h.n", F.filter("open", holds).alias("open")).filter(F.size("open") > 0)
+        met = session.staged(met, "histogram")
+        rows = met.select("kind", "grp", "value", "n", F.inline("open"))
         # the smallest k with value <= lo + floor(width * k / parts)
-        k = F.ceil((F.col("h.value") - F.col("lo")) * parts / width).cast("bigint")
-        edge = lambda i: F.col("lo") + F.floor(width * i / parts).cast("bigint")
-        k = F.when(F.col("h.value") > edge(k), k + 1).when(F.col("h.value") <= edge(k - 1), k - 1).otherwise(k)
-        keys = ["kind", "grp", "total", "p", "lo", "hi", "base", "rank"]
-        bins = met.select(*[F.col(f"s.{c}").alias(c) for c in keys], k.alias("k"), F.col("h.n").alias("n")).groupBy(*keys, "k").agg(F.sum("n").alias("n"))
-        listed = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("bins"))  # at most 2**levels entries
+        k = F.ceil((F.col("value") - F.col("lo")) * parts / width).cast("bigint")
+        k = F.when(F.col("value") > edge(k), k + 1).when(F.col("value") <= edge(k - 1), k - 1).otherwise(k)
+        bins = rows.select(*keys, k.alias("k"), "n").groupBy(*keys, "k").agg(F.sum("n").alias("n"))
+        listed = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("bins"))  # at most 2**levels entries
         zero = F.struct(F.lit(None).cast("bigint").alias("k"), F.col("base").alias("below"))
 
         def step(a, b):
@@ -67,5 +75,9 @@ def percentiles(hist: DataFrame, wanted: Sequence[int] = PERCENTILES, levels: in
 
         hit = listed.withColumn("at", F.aggregate("bins", zero, step))
         narrowed = hit.select("kind", "grp", "total", "p", edge(F.col("at.k") - 1).alias("lo"), edge(F.col("at.k")).alias("hi"), F.col("at.below").alias("base"), "rank")
-        state = session.staged(narrowed.unionByName(state.filter(width <= 1)), "intervals")
+        new = session.staged(narrowed.unionByName(state.filter(width <= 1)), "intervals")
+        for done in (left, state):
+            session.unstage(spark, done)
+        widest = -(-widest // parts)  # no part is wider
+        left, state = met.drop("open"), new
     return state.select("kind", "grp", F.col("total").alias("n"), F.col("p").alias("percentile"), F.col("hi").alias("value"))

@@ -50,8 +50,17 @@ def p4_weeks(spark: SparkSession, d: str) -> DataFrame:
     return distinct.coarser(_patterns(spark, d), lambda c: F.trunc(c["day"], "week"), "week")
 
 
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.histogram(table(spark, d, "api_usage_logs"), "id", "processing_time_ms", ["endpoint", "api_key_id"])
+
+
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.percentiles(percentiles.histogram(table(spark, d, "api_usage_logs"), "id", "processing_time_ms", ["endpoint", "api_key_id"]))
+    return percentiles.percentiles(_times(spark, d))
+
+
+def p6_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """The partial results themselves, which combine by adding: how often each value occurs in each group."""
+    return _times(spark, d)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +83,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_distinct": p4_distinct, "p4_patterns": p4_patterns, "p4_weeks": p4_weeks, "p6_percentiles": p6_percentiles, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_distinct": p4_distinct, "p4_patterns": p4_patterns, "p4_weeks": p4_weeks, "p6_percentiles": p6_percentiles, "p6_histogram": p6_histogram, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 # words: what stands between is blanked out, then words are taken whole; RE2 has no look-around, so a word is spelled out
 _WORD = r"(?:\p{L}(?:''\p{L})*|\p{Nd}(?:\.\p{Nd})*)+"
@@ -112,6 +121,9 @@ WITH c AS (SELECT DISTINCT user_id, CAST(created_at AS DATE) AS day, tenant_id F
 u AS (SELECT string_agg(coalesce(CAST(day AS VARCHAR), '') || '|' || coalesce(tenant_id, ''), ';' ORDER BY day NULLS FIRST, tenant_id NULLS FIRST) AS pattern FROM c GROUP BY user_id)
 SELECT pattern, count(*) AS n FROM u GROUP BY pattern""",
     "p4_weeks": """SELECT CAST(date_trunc('week', created_at) AS DATE) AS week, count(DISTINCT user_id) AS n_distinct FROM api_usage_logs WHERE user_id IS NOT NULL GROUP BY ALL""",
+    "p6_histogram": """
+WITH l AS (SELECT DISTINCT id, endpoint, api_key_id, CAST(processing_time_ms AS BIGINT) AS value FROM api_usage_logs WHERE processing_time_ms IS NOT NULL)
+SELECT 'endpoint' AS kind, endpoint AS grp, value, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT 'api_key_id', api_key_id, value, count(*) FROM l GROUP BY ALL""",
     "p6_percentiles": """
 WITH l AS (SELECT DISTINCT id, endpoint, api_key_id, processing_time_ms AS v FROM api_usage_logs WHERE processing_time_ms IS NOT NULL),
 g AS (SELECT 'endpoint' AS kind, endpoint AS grp, v FROM l UNION ALL SELECT 'api_key_id', api_key_id, v FROM l),
