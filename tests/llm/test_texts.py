@@ -10,6 +10,8 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from veloquent.llm import lexicon, lookalike, packing, tokens
 
 NASTY = ["", None, " ", "\n\n  \t", "a", "the the the", "naïve café 日本語 ありがとう 🙂👩‍🏫", "x" * 5000, "<|endoftext|> text", "don't we'll I'M 123 4.5", " " * 3000 + "end", "\u0000​﻿", "é" * 999, "ab" * 4000 + " " + "!?" * 2000]
@@ -154,8 +156,11 @@ LOOK = [
     ["Kelvin", "Kelvin", "Кelvin"],
     ["bridge", "briԁɡe"],
     ["👩‍🏫 hi", "👩‍🏫 hі"],
+    ["Mix VII", "Ⅿix Ⅶ", "Ⅿⅰⅹ ⅤⅡ", "𝐌ix 𝖵II", "Ꮇiх VII"],
+    ["Zebra", "Ꮓebra", "ꓜebra"],
+    ["noun", "ոoսո", "nⲟun"],
 ]
-DIFFER = ["full moon", "Full  moon", "Full\nmoon", "cafe", "l1I", "lII", "O0", "OO", "2", "²", "①", "1", "'", "’", '"', "”", "-", "–", "...", "…", "👩🏫 hi", "x", "×", "ß", "B", "в", "θ"]
+DIFFER = ["full moon", "Full  moon", "Full\nmoon", "cafe", "l1I", "lII", "O0", "OO", "2", "²", "①", "1", "'", "’", '"', "”", "-", "–", "...", "…", "👩🏫 hi", "x", "×", "𝟐", "ß", "B", "в", "θ"]
 
 
 def test_classes_and_rewriting(spark):
@@ -183,7 +188,22 @@ def test_pairs(spark):
     group = {t: n for n, g in enumerate(LOOK) for t in g}
     want = sorted((a[0], b[0]) for a, b in combinations(sorted(d for d in docs if d[1] in group), 2) if a[1] != b[1] and group[a[1]] == group[b[1]])
     assert got == want
-    assert lookalike.pairs(df.limit(0), "doc_id", "text").count() == 0
+    assert sorted(map(tuple, lookalike.pairs(df, "doc_id", "text", chunk=7).collect())) == want  # texts in several chunks
+    members = {m["doc_id"]: m for m in lookalike.members(df, "doc_id", "text").collect()}
+    assert {x for p in want for x in p} == set(members)
+    assert all(members[a]["class_id"] == members[b]["class_id"] <= a for a, b in want)
+    moon = members[0]
+    assert (moon["class_id"], moon["n_texts"], moon["n_documents"]) == (0, len(set(LOOK[0])), len(LOOK[0]) + 60)
+    assert lookalike.pairs(df.limit(0), "doc_id", "text").count() == lookalike.members(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_class_of_two_much_copied_texts_is_spread(spark):
+    n = 2_000
+    df = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "Full moon").otherwise("Ｆull moon").alias("text"))
+    found = lookalike.pairs(df, "doc_id", "text", chunk=100)
+    assert found.count() == n * n
+    placed = lookalike.forms(df, "doc_id", "text").groupBy("c", "t", F.pmod(F.xxhash64("id"), F.lit(20)).alias("i")).count().agg(F.max("count")).first()[0]
+    assert placed < 200
 
 
 @settings(max_examples=100, deadline=None)

@@ -20,8 +20,13 @@ SAME_SHAPE = (
     "АA ВB ЕE ЅS ІI ЇÏ ЈJ КK МM НH ОO РP СC ТT УY ХX ԌG ԚQ ԜW ӀI ҺH "
     "аa еe ѕs іi їï јj оo рp сc уy хx һh ԁd ԛq ԝw "
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX νv οo ϲc ϳj ϹC "
-    "օo ՕO ɡg KK ÅÅ"
+    "օo ՕO ոn սu հh ՍU ɡg KK ÅÅ "
+    "ᎪA ᏴB ᏟC ᎠD ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏚS ᎢT ᏙV ᎳW ᏃZ "
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU "
+    "ⲞO ⲟo ⲤC ⲥc ⲢP ⲣp ⲘM ⲚN ⲔK ⲎH ⲒI ⲦT ⲨY ⲬX"
 )
+#: Roman numerals made of letters, each shown as those letters
+_NUMERALS = range(0x2160, 0x2180)
 #: formatting characters that do show, or belong to a sign that does
 _SHOWN = set(map(chr, [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD, *range(0xE0020, 0xE0080)]))
 _HIDDEN = {chr(c) for c in [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]}
@@ -39,7 +44,8 @@ def target(ch: str) -> str:
     if ch in _LIGATURES:
         return unicodedata.normalize("NFKD", ch)
     parts = unicodedata.decomposition(ch).split()
-    if parts and parts[0] in ("<wide>", "<narrow>"):
+    # <font>: letters of mathematical alphabets; digits of theirs are styled on purpose, and stay
+    if parts and (parts[0] in ("<wide>", "<narrow>") or (parts[0] == "<font>" and kind in ("Lu", "Ll")) or (parts[0] == "<compat>" and ord(ch) in _NUMERALS)):
         return "".join(chr(int(x, 16)) for x in parts[1:])
     return unicodedata.normalize("NFD", ch)
 
@@ -112,14 +118,17 @@ def classes(seen: Iterable[str]) -> list[list[str]]:
 def representatives(groups: list[list[str]], counts: dict[str, int]) -> dict[str, str]:
     """Each member that is rewritten, with its class's most frequent member; ties go to the shorter, then the smaller.
 
-    What shows nothing becomes nothing. Members that compose to one code point stand as composed.
+    What shows nothing becomes nothing. Members that compose to one code point stand as composed. Where a sign looks
+    like several letters (a ligature, a numeral), the letters stand for it, so that signs which overlap end up alike.
     """
+    letters = lambda x: sum(unicodedata.category(ch)[0] != "M" for ch in unicodedata.normalize("NFC", x))
     out = {}
     for g in groups:
         if "" in g:
             best = ""
         else:
-            best = min(g, key=lambda x: (-counts.get(x, 0), len(x), x))
+            most = max(map(letters, g))
+            best = min((x for x in g if most < 2 or letters(x) == most), key=lambda x: (-counts.get(x, 0), len(x), x))
             best = unicodedata.normalize("NFC", best)
         out |= {x: best for x in g if x not in (best, "")}
     return out
@@ -216,22 +225,42 @@ def canonical(docs: DataFrame, id_col: str, text_col: str, rewriting: dict[str,
     return rows.mapInArrow(run, f"id {kind}, text string, canonical string")
 
 
-def pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def forms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, c, t), staged: per document with visible text the hashes of its consistent form and of its own text."""
+    x = canonical(docs, id_col, text_col)
+    visible = F.col("canonical").rlike(r"[^\s\p{Z}\p{C}]")
+    return session.staged(x.filter(visible).select("id", F.unhex(F.md5("canonical")).alias("c"), F.unhex(F.md5("text")).alias("t")), "lookalike")
+
+
+def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, n_texts, n_documents): each document of a class of several texts, with its class's smallest id.
+
+    What ``pairs`` says, one row a document: documents of one class look the same. Classes are summed up before their
+    shuffle, so one with any share of the documents is a row per task.
+    """
+    rows = forms(docs, id_col, text_col)
+    texts = rows.groupBy("c", "t").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    several = texts.groupBy("c").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_documents")).filter("n_texts > 1")
+    return rows.select("id", "c").join(several, "c").select(F.col("id").alias(id_col), "class_id", "n_texts", "n_documents")
+
+
+def pairs(docs: DataFrame, id_col: str, text_col: str, chunk: int = 1_000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: documents with visible text that look the same and are not equal.
 
     Only hashes of texts travel. Copies of one text meet once, as a text, before texts are paired: a class held
-    by many copies of few texts costs its pairs of texts, not of documents; the documents join last, and every
-    row of that join is a result.
+    by many copies of few texts costs its pairs of texts, not of documents. The documents of a text are spread over
+    chunks of about ``chunk`` by a hash of their id, and texts are paired chunk by chunk, so that a task holds a
+    chunk's documents and makes the pairs of two chunks at a time, however many copies a text has; every row of the
+    last join is a result.
     """
-    x = canonical(docs, id_col, text_col)
-    visible = F.col("canonical").rlike(r"[^\s\p{Z}\p{C}]")
-    rows = x.filter(visible).select("id", F.unhex(F.md5("canonical")).alias("c"), F.unhex(F.md5("text")).alias("t"))
-    rows = session.staged(rows, "lookalike")
-    texts = rows.select("c", "t").distinct()
-    several = texts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c")
-    texts = texts.join(several, "c")
-    a, b = texts.select("c", F.col("t").alias("ta")), texts.select("c", F.col("t").alias("tb"))
+    rows = forms(docs, id_col, text_col)
+    texts = rows.groupBy("c", "t").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))
+    texts = session.staged(texts.join(texts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c"), "c"), "texts")
+    a, b = texts.select("c", F.col("t").alias("ta"), F.col("k").alias("ka")), texts.select("c", F.col("t").alias("tb"), F.col("k").alias("kb"))
     met = a.join(b, "c").filter(F.col("ta") < F.col("tb"))
-    left, right = rows.select("c", F.col("t").alias("ta"), F.col("id").alias("ia")), rows.select("c", F.col("t").alias("tb"), F.col("id").alias("ib"))
-    found = met.join(left, ["c", "ta"]).join(right, ["c", "tb"])
+    chunks = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    met = met.withColumn("i", chunks("ka")).withColumn("j", chunks("kb")).drop("ka", "kb")
+    placed = rows.join(texts, ["c", "t"]).select("c", "t", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("i"), "id")
+    left, right = placed.select("c", F.col("t").alias("ta"), "i", F.col("id").alias("ia")), placed.select("c", F.col("t").alias("tb"), F.col("i").alias("j"), F.col("id").alias("ib"))
+    found = met.join(left, ["c", "ta", "i"]).join(right, ["c", "tb", "j"])
     return found.select(F.least("ia", "ib").alias(f"{id_col}_a"), F.greatest("ia", "ib").alias(f"{id_col}_b")).distinct()

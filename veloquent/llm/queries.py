@@ -79,11 +79,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_members(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document of a class of look-alikes, with the class's smallest document."""
+    return lookalike.members(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_distinct": p4_distinct, "p4_patterns": p4_patterns, "p4_weeks": p4_weeks, "p6_percentiles": p6_percentiles, "p6_histogram": p6_histogram, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_distinct": p4_distinct, "p4_patterns": p4_patterns, "p4_weeks": p4_weeks, "p6_percentiles": p6_percentiles, "p6_histogram": p6_histogram, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_members": p10_members, "p10_canonical": p10_canonical}
 
 # words: what stands between is blanked out, then words are taken whole; RE2 has no look-around, so a word is spelled out
 _WORD = r"(?:\p{L}(?:''\p{L})*|\p{Nd}(?:\.\p{Nd})*)+"
