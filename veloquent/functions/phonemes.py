@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,14 +33,20 @@ OXFORD = {
     "tʃ": "ʧ", "dʒ": "ʤ", "i": "iː", "u": "uː", "ɜ": "ɜː", "e": "eɪ", "o": "oʊ", "a": "aɪ", "ɚ": "ər", "ɝ": "ɜː", "n̩": "n", "m̩": "m", "l̩": "l", "ˈ": "", "ˌ": "", "ː": "",
 }
 KEEPS_LENGTH = ("i", "u", "ɑ", "ɔ", "ɜ")
+# replaced one after another, in this order; symbols that stay as they are have no entry
 ESPEAK = [
-    ("tS", "ʧ"), ("dZ", "ʤ"), ("N", "ŋ"), ("T", "θ"), ("D", "ð"), ("S", "ʃ"), ("Z", "ʒ"), ("x", "h"), ("?", "ʔ"), ("J", "j"), ("@", "ə"), ("3", "ɜ"), ("A", "ɑ"), ("I", "ɪ"),
-    ("O", "ɔ"), ("U", "ʊ"), ("e", "ɛ"), ("o", "ɒ"), ("a", "æ"), ("V", "ʌ"), ("Q", "ɒ"), ("E", "ɛ"), ("ɐ", "æ"), ("ɚ", "ər"), ("uu", "u"), ("ii", "i"), ("r=", "ər"), ("l=", "l"),
-    ("n=", "n"), ("m=", "m"), ("'", ""), (",", ""), (":", ""),
+    ("tS", "ʧ"), ("dZ", "ʤ"), ("N", "ŋ"), ("T", "θ"), ("D", "ð"), ("S", "ʃ"), ("Z", "ʒ"), ("x", "h"), ("?", "ʔ"), ("J", "j"),
+    ("@", "ə"), ("3", "ɜ"), ("A", "ɑ"), ("I", "ɪ"), ("O", "ɔ"), ("U", "ʊ"), ("e", "ɛ"), ("o", "ɒ"), ("a", "æ"), ("V", "ʌ"), ("Q", "ɒ"), ("E", "ɛ"),
+    ("A:", "ɑː"), ("3:", "əː"), ("i:", "iː"), ("O:", "ɔː"), ("u:", "uː"),
+    ("aI", "aɪ"), ("AI", "aɪ"), ("aj", "aɪ"), ("eI", "eɪ"), ("EI", "eɪ"), ("ej", "eɪ"), ("OI", "ɔɪ"), ("oj", "ɔɪ"), ("aU", "aʊ"), ("AU", "aʊ"), ("aw", "aʊ"), ("oU", "oʊ"), ("OU", "oʊ"), ("ow", "oʊ"),
+    ("@U", "əʊ"), ("I@", "ɪə"), ("e@", "ɛː"), ("u@", "ʊə"),
+    ("ɐ", "æ"), ("ɚ", "ər"), ("uu", "u"), ("ii", "i"), ("oo", "o"), ("aa", "a"), ("ee", "e"), ("r=", "ər"), ("l=", "l"), ("n=", "n"), ("m=", "m"),
+    ("'", ""), (",", ""), (":", ""),
 ]
-KNOWN = set(
-    "b ʧ d ð f g h ʤ k l m n ŋ p r s ʃ t θ v w j z ʒ ɛ ə ɪ i ʊ ɑ ɔ æ u a ɒ ʌ ɑː ɛː əː iː ɔː uː aʊ eɪ ɔɪ aɪ oʊ ʌɪ əʊ ɪə ʊə".split()
-)
+KNOWN = {
+    "b", "ʧ", "d", "ð", "f", "g", "h", "ʤ", "k", "l", "m", "n", "ŋ", "p", "r", "s", "ʃ", "t", "θ", "v", "w", "j", "z", "ʒ",
+    "ɛ", "ə", "ɪ", "i", "ʊ", "ɑ", "ɔ", "æ", "u", "a", "ɒ", "ʌ", "ɑː", "ɛː", "əː", "iː", "ɔː", "uː", "aʊ", "eɪ", "ɔɪ", "aɪ", "oʊ", "ʌɪ", "əʊ", "ɪə", "ʊə",
+}
 SILENCE = {"<unk>", "<sil>", "<spn>", ""}
 ALIASES = [
     {"h", GAP}, {"ə", "ʌ", "ɐ", "ɑ", "a"}, {"ɜ", "ɚ", "ɝ", "ər", "ɜː", "ʊ", "u", "uː"}, {"o", "oʊ", "əʊ", "ɔ", "ɔː", "oː", "ə"}, {"e", "eɪ", "ɛ", "eː"}, {"i", "iː", "ɪ"},
@@ -47,34 +54,69 @@ ALIASES = [
 ]
 SYMBOLS = {"ɝ": "ɚ", "ɛr": "ɛ", "ʊr": "ʊ", "ur": "u", "ər": "ə"}
 #: vowels: height, backness, rounding
-VOWELS = """
-i high front no; ɪ near-high front no; e mid front no; ɛ open-mid front no; æ near-open front no; a open front no; ɑ open back no; ɒ open back yes; ɔ open-mid back yes;
-o mid back yes; u high back yes; ʊ near-high back yes; ə mid central no; ɜ mid central no; ʌ open-mid central no; ɚ mid central no; ɝ mid central no; eɪ mid front no;
-aɪ open front no; oʊ mid back yes; aʊ open back yes; ɔɪ open-mid back yes; ᵻ mid central no
-"""
+VOWELS = {
+    "i": ("high", "front", "no"),
+    "ɪ": ("near-high", "front", "no"),
+    "e": ("mid", "front", "no"),
+    "ɛ": ("open-mid", "front", "no"),
+    "æ": ("near-open", "front", "no"),
+    "a": ("open", "front", "no"),
+    "ɑ": ("open", "back", "no"),
+    "ɒ": ("open", "back", "yes"),
+    "ɔ": ("open-mid", "back", "yes"),
+    "o": ("mid", "back", "yes"),
+    "u": ("high", "back", "yes"),
+    "ʊ": ("near-high", "back", "yes"),
+    "ə": ("mid", "central", "no"),
+    "ɜ": ("mid", "central", "no"),
+    "ʌ": ("open-mid", "central", "no"),
+    "ɚ": ("mid", "central", "no"),
+    "ɝ": ("mid", "central", "no"),
+    "eɪ": ("mid", "front", "no"),
+    "aɪ": ("open", "front", "no"),
+    "oʊ": ("mid", "back", "yes"),
+    "aʊ": ("open", "back", "yes"),
+    "ɔɪ": ("open-mid", "back", "yes"),
+    "ᵻ": ("mid", "central", "no"),
+}
 #: consonants: place, manner, voice
-CONSONANTS = """
-p bilabial plosive no; b bilabial plosive yes; m bilabial nasal yes; f labiodental fricative no; v labiodental fricative yes; w labial-velar approximant yes;
-t alveolar plosive no; d alveolar plosive yes; n alveolar nasal yes; s alveolar fricative no; z alveolar fricative yes; l alveolar lateral yes; r alveolar approximant yes;
-ɹ alveolar approximant yes; θ dental fricative no; ð dental fricative yes; ʃ postalveolar fricative no; ʒ postalveolar fricative yes; tʃ postalveolar affricate no;
-dʒ postalveolar affricate yes; j palatal approximant yes; k velar plosive no; g velar plosive yes; ŋ velar nasal yes; h glottal fricative no
-"""
+CONSONANTS = {
+    "p": ("bilabial", "plosive", "no"),
+    "b": ("bilabial", "plosive", "yes"),
+    "m": ("bilabial", "nasal", "yes"),
+    "f": ("labiodental", "fricative", "no"),
+    "v": ("labiodental", "fricative", "yes"),
+    "w": ("labial-velar", "approximant", "yes"),
+    "t": ("alveolar", "plosive", "no"),
+    "d": ("alveolar", "plosive", "yes"),
+    "n": ("alveolar", "nasal", "yes"),
+    "s": ("alveolar", "fricative", "no"),
+    "z": ("alveolar", "fricative", "yes"),
+    "l": ("alveolar", "lateral", "yes"),
+    "r": ("alveolar", "approximant", "yes"),
+    "ɹ": ("alveolar", "approximant", "yes"),
+    "θ": ("dental", "fricative", "no"),
+    "ð": ("dental", "fricative", "yes"),
+    "ʃ": ("postalveolar", "fricative", "no"),
+    "ʒ": ("postalveolar", "fricative", "yes"),
+    "tʃ": ("postalveolar", "affricate", "no"),
+    "dʒ": ("postalveolar", "affricate", "yes"),
+    "j": ("palatal", "approximant", "yes"),
+    "k": ("velar", "plosive", "no"),
+    "g": ("velar", "plosive", "yes"),
+    "ŋ": ("velar", "nasal", "yes"),
+    "h": ("glottal", "fricative", "no"),
+}
 FILLER_SOUNDS = {
     ("ʌ", "m"): "um", ("ə", "m"): "um", ("ʊ", "m"): "um", ("a", "m"): "um", ("h", "ə", "m"): "hmm", ("h", "m"): "hmm", ("m", "m"): "hmm", ("ɚ", "r"): "er", ("ə", "r"): "er",
     ("ʌ",): "uh", ("ə",): "uh", ("a",): "ah",
 }
-STOPS = set("tdkgpb")
-NEIGHBOUR_CONSONANTS = STOPS | set("fvszʃʒnlrwjh") | {"tʃ", "dʒ"}
+STOPS = {"t", "d", "k", "g", "p", "b"}
+NEIGHBOUR_CONSONANTS = STOPS | {"f", "v", "s", "z", "ʃ", "ʒ", "n", "l", "r", "w", "j", "h", "tʃ", "dʒ"}
 DELETED = {"h": 60.0}
 GAP_COST = 0.9
 
 
-def _features(table: str) -> dict[str, tuple[str, str, str]]:
-    rows = (r.split() for r in table.replace("\n", " ").split(";"))
-    return {r[0]: tuple(r[1:]) for r in rows if r}
-
-
-_VOWELS, _CONSONANTS = _features(VOWELS), _features(CONSONANTS)
 _GROUPS: dict[str, set[int]] = {}
 for _i, _g in enumerate(ALIASES):
     for _s in _g:
@@ -154,6 +196,48 @@ def coverage(expected: Column, recognized: Column) -> Column:
     return F.size(recognized) / F.greatest(F.size(expected), F.lit(1))
 
 
+def _pairwise(seq: Column, joint, alone=None, swallows=None) -> Column:
+    """A sequence read from the left with one symbol held back: ``joint(held, next)`` takes the place of both if it is
+    not null, and ``swallows(held, next)`` lets the held one stand for both; else the held one goes out as ``alone``."""
+    alone = alone or (lambda p: p)
+    nothing = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("out"), nothing.alias("held"))
+
+    def step(acc: Column, q: Column) -> Column:
+        held, pair = acc["held"], joint(acc["held"], q)
+        moved = F.struct(F.array_append(acc["out"], alone(held)).alias("out"), q.alias("held"))
+        x = F.when(held.isNull(), F.struct(acc["out"].alias("out"), q.alias("held"))).when(pair.isNotNull(), F.struct(F.array_append(acc["out"], pair).alias("out"), nothing.alias("held")))
+        if swallows is not None:
+            x = x.when(swallows(held, q), F.struct(F.array_append(acc["out"], alone(held)).alias("out"), nothing.alias("held")))
+        return x.otherwise(moved)
+
+    last = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], alone(acc["held"])))
+    return F.aggregate(F.coalesce(seq, F.array().cast("array<string>")), start, step, last)
+
+
+def _pair_in(pairs: dict[tuple[str, str], str]):
+    table = _map({f"{a}\t{b}": c for (a, b), c in pairs.items()})
+    return lambda a, b: table[F.concat(a, F.lit("\t"), b)]
+
+
+def joined(seq: Column) -> Column:
+    """Repeats removed, then split diphthongs joined from the left."""
+    return _pairwise(without_repeats(seq), _pair_in(MERGES_OVERSPLIT))
+
+
+def rebuilt(seq: Column) -> Column:
+    """Split diphthongs joined; one already whole (but for aɪ) swallows its own second half if that follows; lone
+    vowel letters become the short vowels."""
+    whole = lambda p: p.isin([x for x in MERGES_OVERSPLIT.values() if x != "aɪ"])
+    table = _map(LONE_VOWELS)
+    return _pairwise(seq, _pair_in(MERGES_OVERSPLIT), lambda p: F.coalesce(table[p], p), lambda p, q: whole(p) & (q == F.right(p, F.lit(1))))
+
+
+def cleaned(seq: Column) -> Column:
+    """Pairs joined where both stand side by side, blanks dropped, then repeats removed."""
+    return without_repeats(F.filter(_pairwise(seq, _pair_in(MERGES_CLEAN)), lambda p: F.trim(p) != ""))
+
+
 # -- sequences ----------------------------------------------------------------------------------------------------
 
 
@@ -171,52 +255,6 @@ def normal_ipa(seq: list[str] | None, split: bool = True) -> list[str]:
     return [q for q in map(_normal, parts) if q]
 
 
-def _merged(seq: list[str], pairs: dict[tuple[str, str], str]) -> list[str]:
-    out, i = [], 0
-    while i < len(seq):
-        hit = pairs.get(tuple(seq[i : i + 2]))
-        out.append(hit or seq[i])
-        i += 2 if hit else 1
-    return out
-
-
-def _no_repeats(seq: list[str]) -> list[str]:
-    return [p for i, p in enumerate(seq) if i == 0 or p != seq[i - 1]]
-
-
-def joined(seq: list[str] | None) -> list[str]:
-    """Repeats removed, then split diphthongs joined from the left."""
-    return _merged(_no_repeats(seq or []), MERGES_OVERSPLIT)
-
-
-def rebuilt(seq: list[str] | None) -> list[str]:
-    """Split diphthongs joined; one already whole (but for aɪ) swallows its own second half if that follows; lone
-    vowel letters become the short vowels."""
-    seq, out, i = seq or [], [], 0
-    while i < len(seq):
-        p, following = seq[i], seq[i + 1] if i + 1 < len(seq) else None
-        pair = MERGES_OVERSPLIT.get((p, following))
-        whole = p in MERGES_OVERSPLIT.values() and p != "aɪ"
-        if pair or whole:
-            out.append(pair or p)
-            i += 2 if pair or following == p[-1] else 1
-        else:
-            out.append(LONE_VOWELS.get(p, p))
-            i += 1
-    return out
-
-
-def cleaned(seq: list[str] | None) -> list[str]:
-    """Pairs joined where both stand side by side, blanks dropped, then repeats removed."""
-    seq, out, i = seq or [], [], 0
-    while i < len(seq):
-        hit = MERGES_CLEAN.get(tuple(seq[i : i + 2]))
-        if seq[i].strip():
-            out.append(hit or seq[i])
-        i += 2 if hit else 1
-    return _no_repeats(out)
-
-
 def filler_sounds(seq: list[str] | None) -> list[dict]:
     """Fillers heard in a sequence: longest pattern first, consumed on a hit; places are three characters a sound."""
     seq, out, i = seq or [], [], 0
@@ -257,7 +295,7 @@ def distance(a: str, b: str) -> float:
     if _GROUPS.get(a, set()) & _GROUPS.get(b, set()):
         return 0.05
     x, y = SYMBOLS.get(a, a), SYMBOLS.get(b, b)
-    for table, base, weights, most in ((_VOWELS, 0.35, (0.25, 0.25, 0.10), 0.98), (_CONSONANTS, 0.30, (0.30, 0.30, 0.10), 0.95)):
+    for table, base, weights, most in ((VOWELS, 0.35, (0.25, 0.25, 0.10), 0.98), (CONSONANTS, 0.30, (0.30, 0.30, 0.10), 0.95)):
         if x in table and y in table:
             s = base
             for same, w in zip(map(str.__eq__, table[x], table[y]), weights):
@@ -338,26 +376,25 @@ SPELLINGS = {
 _SPELLING = re.compile("|".join(SPELLINGS))
 
 
-def sounds(word: str | None, lexicon: dict[str, list[str]] | None = None) -> list[str]:
-    """A word's symbols: from the lexicon, else letter by letter."""
-    w = (word or "").lower()
-    if lexicon and w in lexicon:
-        return list(lexicon[w])
-    return [s for m in _SPELLING.finditer(w) for s in SPELLINGS[m.group()]]
+def sounds(word: str | None, known: Sequence[str] | None = None) -> list[str]:
+    """A word's symbols: those a lexicon gives (``known``), else letter by letter."""
+    if known is not None and len(known):
+        return list(known)
+    return [s for m in _SPELLING.finditer((word or "").lower()) for s in SPELLINGS[m.group()]]
 
 
-def dictionary_line(word: str) -> str | None:
+def dictionary_line(word: str, known: Sequence[str] | None = None) -> str | None:
     """A word with its ARPABET symbols, vowels marked unstressed; null if none is known."""
     back = {v: k for k, v in reversed(ARPABET.items())}
-    known = []
-    for s in normal_ipa(sounds(word), split=False):
-        known += [back[x] for x in ([s] if s in back else s if len(s) > 1 else []) if x in back]
-    return f"{word}\t{' '.join(a + '0' * (a in STRESSED) for a in known)}" if known else None
+    found = []
+    for s in normal_ipa(sounds(word, known), split=False):
+        found += [back[x] for x in ([s] if s in back else s if len(s) > 1 else []) if x in back]
+    return f"{word}\t{' '.join(a + '0' * (a in STRESSED) for a in found)}" if found else None
 
 
 def distance_table(spark: SparkSession) -> DataFrame:
     """(a, b, distance) over the symbols with features or aliases: a fixed, small inventory."""
-    symbols = sorted({*_VOWELS, *_CONSONANTS, *_GROUPS} - {GAP})
+    symbols = sorted({*VOWELS, *CONSONANTS, *_GROUPS} - {GAP})
     return spark.createDataFrame([(a, b, distance(a, b)) for a in symbols for b in symbols], "a string, b string, distance double")
 
 
@@ -365,9 +402,6 @@ PAIRS = "array<struct<expected:string,recognized:string,score:double>>"
 align_udf = per_row(align, f"struct<scores:array<double>,pairs:{PAIRS}>")
 normal_udf = per_row(normal_ipa, "array<string>")
 normal_whole_udf = per_row(lambda s: normal_ipa(s, split=False), "array<string>")
-joined_udf = per_row(joined, "array<string>")
-rebuilt_udf = per_row(rebuilt, "array<string>")
-cleaned_udf = per_row(cleaned, "array<string>")
 filler_udf = per_row(filler_sounds, "array<struct<text:string,start_index:int,end_index:int,phonemes:string>>")
 sounds_udf = per_row(sounds, "array<string>")
 dictionary_udf = per_row(dictionary_line, "string")

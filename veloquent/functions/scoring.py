@@ -19,10 +19,16 @@ def _mean(xs: list[float]) -> float:
 
 
 @lru_cache(1 << 14)
-def _sounds(word: str) -> list[str]:
+def _spelled(word: str) -> list[str]:
     return phonemes.normal_ipa(phonemes.sounds(word))
 
 
+def _sounds(words: list[str], known: list | None) -> list[list[str]]:
+    """Each word's normal sounds: a lexicon's, where it has the word, else those of its spelling."""
+    known = known or []
+    return [phonemes.normal_ipa(known[k]) if k < len(known) and known[k] else _spelled(w) for k, w in enumerate(words)]
+
+
 def _word(text: str, sounds: list[dict]) -> dict:
     return {"word_text": text, "word_score": _mean([p["phoneme_score"] for p in sounds]), "phonemes": sounds}
 
@@ -31,16 +37,16 @@ def _flat(text: str, symbols: list[str], score: float) -> dict:
     return _word(text, [{"ipa_label": s, "phoneme_score": score} for s in symbols])
 
 
-def score_words(expected: str | None, said: str | None, reading: bool | None = False) -> list[dict]:
+def score_words(expected: str | None, said: str | None, reading: bool | None = False, expected_sounds: list | None = None, said_sounds: list | None = None) -> list[dict]:
     """Every expected word with its sounds' scores. Words are matched in order by a word diff.
 
     Equal words are aligned sound by sound. Within a replaced stretch the pair of the least cost is taken first,
     earlier pairs first among equals, each word once; words left over, and words not said, score 0. For reading
     tasks whose text differs, replaced and missing words score a flat 10 instead. Words said beyond the expected
-    ones are not scored.
+    ones are not scored. The sounds of both texts' words may come from a lexicon (see ``lexicon.with_sounds``).
     """
     e, s = _TOKEN.findall(expected or ""), _TOKEN.findall(said or "")
-    es, ss = ([_sounds(w) for w in ws] for ws in (e, s))
+    es, ss = _sounds(e, expected_sounds), _sounds(s, said_sounds)
     strict = bool(reading) and (expected or "").lower().strip() != (said or "").lower().strip()
     flat = READING_SCORE if strict else 0.0
     out = []
@@ -122,7 +128,7 @@ def score_transcript(words: list[str] | None, expected: list[list[str]] | None,
     return [_word(w, parts[k] if k < len(parts) else []) for k, w in enumerate(words)]
 
 
-def score_utterance(expected: str | None, said: str | None, heard: list[str] | None, segments: list[list[str]] | None = None, similarity: list[float] | None = None) -> list[dict]:
+def score_utterance(expected: str | None, said: str | None, heard: list[str] | None, segments: list[list[str]] | None = None, similarity: list[float] | None = None, expected_sounds: list | None = None) -> list[dict]:
     """Expected words scored by a transcript, the sounds of the whole recording, and those of each word's stretch.
 
     A word the transcript does not have (see ``lexical_gate``) scores 0, and the scores of the overall alignment
@@ -131,7 +137,7 @@ def score_utterance(expected: str | None, said: str | None, heard: list[str] | N
     with the sounds of its own stretch, and scores 0 if that has none.
     """
     words = _TOKEN.findall(expected or "")
-    own = [_sounds(w) for w in words]
+    own = _sounds(words, expected_sounds)
     pairs = phonemes.align([s for e in own for s in e], phonemes.normal_ipa(heard, split=False))["pairs"]
     scores = iter([p["score"] or 0.0 for p in pairs if p["expected"] != phonemes.GAP])
     of = lambda xs, k: xs[k] if xs and k < len(xs) else None

@@ -8,7 +8,11 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
-from veloquent.functions.udf import per_row
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from veloquent.functions.udf import per_batch, per_row
 
 # Fixed values of the filler rules.
 DEFINITE = frozenset(["uh", "um", "hmm", "er", "ah", "mm", "erm", "eh", "oh"])
@@ -33,18 +37,43 @@ def word_offsets(text: str | None) -> list[dict]:
     return out
 
 
-def repetitions(text: str | None) -> list[dict]:
-    """Runs of the same word, ignoring case and the marks at its ends."""
-    words = word_offsets((text or "").lower())
-    out, i = [], 0
-    while i < len(words):
-        j = i + 1
-        while j < len(words) and _bare(words[j]["word"]) == _bare(words[i]["word"]):
-            j += 1
-        if j - i > 1:
-            out.append({"text": _bare(words[i]["word"]), "start_index": words[i]["start"], "end_index": words[j - 1]["start"] + len(words[j - 1]["word"]), "repeat_count": j - i})
-        i = j
-    return out
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of a batch of texts, the row bounds among them, and each word's place and length in its text."""
+    lists = pc.fill_null(pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts)), pa.scalar([], pa.list_(pa.string())))
+    ends = np.cumsum(np.concatenate(([0], pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+    words = lists.flatten()
+    some = pc.not_equal(words, "")  # a blank text splits into one empty word
+    if not pc.all(some).as_py() if len(words) else False:
+        gone = np.concatenate(([0], np.cumsum(~some.to_numpy(zero_copy_only=False))))
+        words, ends = words.filter(some), ends - gone[ends]
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate(([0], np.cumsum(size + 1)))
+    start = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
+    return words, ends, start, size
+
+
+def _offsets(texts: pa.Array) -> pa.Array:
+    words, ends, start, _ = _split(texts)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(start, pa.int32())], ["word", "start"]))
+
+
+def _repetitions(texts: pa.Array) -> pa.Array:
+    """Runs of the same word, ignoring case and the marks at its ends: one comparison of neighbours over a whole batch."""
+    words, ends, start, size = _split(pc.utf8_lower(texts))
+    bare = pc.utf8_trim(words, ".,!?")
+    n = len(words)
+    fresh = np.ones(n + 1, bool)
+    if n > 1:
+        fresh[1:n] = ~pc.equal(bare.slice(1), bare.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    fresh[ends] = True
+    first = np.flatnonzero(fresh)
+    count = np.diff(first)
+    runs = np.flatnonzero(count > 1)
+    a, k = first[runs], count[runs]
+    z = a + k - 1
+    bounds = np.searchsorted(a, ends)
+    columns = [bare.take(pa.array(a)), pa.array(start[a], pa.int32()), pa.array(start[z] + size[z], pa.int32()), pa.array(k, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(columns, ["text", "start_index", "end_index", "repeat_count"]))
 
 
 def fillers(text: str | None, heard: list[dict] | None = None) -> list[dict]:
@@ -158,8 +187,8 @@ def tagged(a: str | None, edits: list[dict]) -> str | None:
     return " ".join(words)
 
 
-offsets_udf = per_row(word_offsets, "array<struct<word:string,start:int>>")
-repetitions_udf = per_row(repetitions, "array<struct<text:string,start_index:int,end_index:int,repeat_count:int>>")
+offsets_udf = per_batch(_offsets, "array<struct<word:string,start:int>>")
+repetitions_udf = per_batch(_repetitions, "array<struct<text:string,start_index:int,end_index:int,repeat_count:int>>")
 fillers_udf = per_row(fillers, "array<struct<text:string,start_index:int,end_index:int,phonemes:string>>")
 spoken_udf = per_row(spoken, "string")
 word_diff_udf = per_row(word_diff, "array<struct<type:string,original:string,corrected:string,position:int>>")

@@ -53,6 +53,44 @@ def pauses(intervals: Column, least: float = 1.0) -> Column:
     return F.filter(gaps, lambda g: g["duration"] >= least)
 
 
+def speech_pauses(x: list[float] | None, rate: int | None = RATE, least: float = 1.0, below_db: float = 20.0, frame: int = 2048, hop: int = 512) -> list[dict]:
+    """Silences of at least ``least`` seconds between two stretches of speech.
+
+    Speech is where the power of a frame (centred, ``hop`` apart) is less than ``below_db`` under the loudest one's. A
+    pause has a place in the text, a twentieth of the sample at which it begins, and its duration to a tenth of a second.
+    """
+    x = np.asarray(x if x is not None else [], float)
+    if not len(x) or not rate:
+        return []
+    padded = np.concatenate((np.zeros(frame // 2), x, np.zeros(frame // 2)))
+    total = np.concatenate(([0.0], np.cumsum(padded**2)))
+    starts = np.arange(0, len(padded) - frame + 1, hop)
+    power = np.maximum(total[starts + frame] - total[starts], 0.0) / frame
+    top = max(power.max(), 1e-10)
+    on = 10 * np.log10(np.maximum(power, 1e-10) / top) > -below_db
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(int), [0]))))
+    spans = np.minimum(edges * hop, len(x)).reshape(-1, 2)
+    out = []
+    for (_, end), (start, _) in zip(spans[:-1].tolist(), spans[1:].tolist()):
+        seconds = (start - end) / rate
+        if seconds >= least:
+            out.append({"start_index": int(end * 0.05), "end_index": int(end * 0.05), "duration": round(seconds, 1)})
+    return out
+
+
+def equal_spans(n: Column, seconds: Column) -> Column:
+    """``n`` spans (start, end) of equal length over the seconds: where words lie while no alignment tells."""
+    part = seconds / F.greatest(n, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.struct((i * part).alias("start"), F.least(seconds, i * part + part).alias("end")))
+
+
+def word_spans(aligned: Column, n: Column, seconds: Column) -> Column:
+    """Spans of ``n`` words: those aligned (array of start, end), and equal parts of the whole for words beyond them."""
+    even = equal_spans(n, seconds)
+    both = let(even, lambda e: F.transform(F.slice(e, F.lit(1), F.greatest(n, F.lit(0))), lambda s, i: F.coalesce(F.get(aligned, i), s)))
+    return both
+
+
 def segment_bounds(start: Column, end: Column, length: Column, pad: float = 0.05, least: float = 0.1) -> Column:
     """Sample bounds of a time span with padding, inside the signal, and never empty where the signal is not."""
     a = F.greatest(F.lit(0), F.floor(F.greatest(F.lit(0.0), start - pad) * RATE))
@@ -65,8 +103,9 @@ def voiced_intervals(x: list[float] | None, floor: float = 0.1, frame: int = 1)
     x = np.asarray(x if x is not None else [], float)
     if not len(x):
         return []
-    n = -(-len(x) // frame)
-    power = np.array([np.mean(x[i * frame : (i + 1) * frame] ** 2) for i in range(n)])
+    starts = np.arange(0, len(x), frame)
+    power = np.add.reduceat(x**2, starts) / np.diff(np.append(starts, len(x)))
+    n = len(power)
     on = power >= floor * power.max() if power.max() > 0 else np.zeros(n, bool)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(int), [0]))))
     return [{"start": float(a * frame), "end": float(min(b * frame, len(x)))} for a, b in zip(edges[::2], edges[1::2])]
@@ -111,6 +150,7 @@ def spectral_summary(x: list[float] | None, rate: int = RATE, bands: int = 40, k
     return [*c.mean(0).tolist(), *c.std(0).tolist()]
 
 
+pauses_udf = per_row(speech_pauses, "array<struct<start_index:int,end_index:int,duration:double>>")
 voiced_udf = per_row(voiced_intervals, "array<struct<start:double,end:double>>")
 summary_udf = per_row(spectral_summary, "array<double>")
 rate_udf = per_row(rate_over_time, "array<double>")

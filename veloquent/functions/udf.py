@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +35,15 @@ def per_row(f: Callable, kind: str) -> Callable[..., Column]:
     return build
 
 
+def per_batch(f: Callable, kind: str) -> Callable[..., Column]:
+    """A column function of ``f``, which takes and gives whole Arrow arrays and so calls Python once a batch."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        return f(*[x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays])
+
+    return lambda *cols: F.arrow_udf(run, kind)(*cols)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, where it is used inside a function of an array's elements."""
     return F.get(F.transform(F.array(value), body), 0)

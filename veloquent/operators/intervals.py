@@ -22,3 +22,18 @@ def contained(outer: DataFrame, inner: DataFrame, on: str, width: float, epsilon
     b = inner.filter(~silent).select(on, *[F.col(c).alias(f"inner_{c}") for c in ("label", "start", "end")], bucket((F.col("start") + F.col("end")) / 2).alias("_b"))
     inside = (F.col("inner_start") + epsilon >= F.col("outer_start")) & (F.col("inner_end") - epsilon <= F.col("outer_end"))
     return a.join(b, [on, "_b"]).filter(inside).drop("_b")
+
+
+def words_with_phones(words: DataFrame, phones: DataFrame, on: str, width: float = 10.0, epsilon: float = EPSILON) -> DataFrame:
+    """(on, label, start, end, phones): each spoken word with the phones inside it, by start; none is an empty list.
+
+    ``phones`` is an array of (start, end, label), in order of start. Words whose label is blank or names silence are no
+    spoken words; the others stay, whether or not a phone lies in them.
+    """
+    spoken = words.select(on, "label", "start", "end").filter(~F.regexp_replace(F.lower(F.trim("label")), "[^a-z0-9']+", "").isin("", "sil", "sp")).distinct()
+    inside = contained(spoken, phones, on, width, epsilon)
+    key = [on, "outer_label", "outer_start", "outer_end"]
+    grouped = inside.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("inner_start").alias("start"), F.col("inner_end").alias("end"), F.col("inner_label").alias("label")))).alias("phones"))
+    grouped = grouped.select(on, *[F.col(f"outer_{c}").alias(c) for c in ("label", "start", "end")], "phones")
+    none = F.array().cast("array<struct<start:double,end:double,label:string>>")
+    return spoken.join(grouped, [on, "label", "start", "end"], "left").withColumn("phones", F.coalesce("phones", none))

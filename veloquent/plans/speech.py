@@ -5,35 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veloquent.functions import phonemes, scoring, sequence, signal, text
+from veloquent.functions import lexicon, phonemes, scoring, sequence, signal, text
 from veloquent.functions.udf import per_row
-from veloquent.operators import intervals, nested
+from veloquent.operators import intervals
 from veloquent.plans import texts
+from veloquent.sources import sinks
 from veloquent.tables import once, table
 
 _C = F.col
 
 
-def _spoken(spark: SparkSession, d: str) -> DataFrame:
-    """(id, words): the scored words of each analysis, typed; documents inside strings are opened."""
-    rows = once(table(spark, d, "pronunciation_analyses"), "id", "words")
-    words = per_row(_typed_words, scoring.WORDS)("words")
-    return rows.select("id", words.alias("words"))
-
+def _objects(v):
+    """The objects in a variant that is an array of them; an object in place of an array is an array of one."""
+    is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
+    many = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(is_object(v), F.array(v)), F.array().cast("array<variant>"))
+    return F.filter(many, lambda x: x.isNotNull() & is_object(x))
 
-def _number(x):
-    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
 
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
+    """(id, words): the scored words of each analysis, typed; a document inside a string is opened.
 
-def _typed_words(text):
-    doc = nested.read_document(text)
-    out = []
-    for w in doc if isinstance(doc, list) else [doc] if isinstance(doc, dict) else []:
-        if isinstance(w, dict):
-            ps = w.get("phonemes") or []
-            ps = [p for p in (ps if isinstance(ps, list) else [ps]) if isinstance(p, dict)]
-            out.append({"word_text": w.get("word_text"), "word_score": _number(w.get("word_score")), "phonemes": [{"ipa_label": p.get("ipa_label"), "phoneme_score": _number(p.get("phoneme_score"))} for p in ps]})
-    return out
+    What is no document has no words. Documents of more than 1,000 levels are none to the JVM's parser (see
+    ``nested`` for those).
+    """
+    rows = once(table(spark, d, "pronunciation_analyses"), "id", "words")
+    v = F.try_parse_json("words")
+    inside = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_parse_json(F.try_variant_get(x, "$", "string"))).otherwise(x)
+    part = lambda x, path, kind: F.try_variant_get(x, f"$.{path}", kind).alias(path)
+    sound = lambda p: F.struct(part(p, "ipa_label", "string"), part(p, "phoneme_score", "double"))
+    word = lambda w: F.struct(part(w, "word_text", "string"), part(w, "word_score", "double"), F.transform(_objects(F.try_variant_get(w, "$.phonemes", "variant")), sound).alias("phonemes"))
+    return rows.select("id", inside(v).alias("v")).select("id", F.transform(_objects(_C("v")), word).alias("words"))
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +60,7 @@ def ipa_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 def diphthong_rebuild(spark: SparkSession, d: str) -> DataFrame:
     x = _labels(spark, d).withColumn("seq", phonemes.split_diphthongs(_C("seq")))
-    return x.select("id", _joined(phonemes.joined_udf("seq")).alias("joined"), _joined(phonemes.rebuilt_udf("seq")).alias("rebuilt"), _joined(phonemes.cleaned_udf("seq")).alias("cleaned"))
+    return x.select("id", *[_joined(f(_C("seq"))).alias(f.__name__) for f in (phonemes.joined, phonemes.rebuilt, phonemes.cleaned)])
 
 
 def phoneme_map(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +108,30 @@ def reading_score(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, True).groupBy("id").agg(F.avg("word_score").alias("overall"), F.count(F.lit(1)).alias("n_words"))
 
 
+def observed_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Each scored word with the sounds it is most often shown with."""
+    return _observed(spark, d).select("word", _joined(_C("sounds")).alias("sounds"), "n")
+
+
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    words = _spoken(spark, d).select(F.explode("words").alias("w"))
+    seq = F.filter(F.transform("w.phonemes", lambda p: p["ipa_label"]), lambda p: p.isNotNull())
+    return lexicon.observed(words.select(_C("w.word_text").alias("word"), seq.alias("sounds")))
+
+
+def scripted_score_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Scripted scores with the sounds of a lexicon, and spelling for words it lacks."""
+    rows = once(table(spark, d, "pronunciation_analyses"), "id", "expected_text", "predicted_text")
+    words = {"expected_sounds": text.tokens(_C("expected_text")), "said_sounds": text.tokens(_C("predicted_text"))}
+    x = lexicon.with_sounds(rows, "id", words, _observed(spark, d))
+    scored = scoring.score_words_udf("expected_text", "predicted_text", F.lit(False), "expected_sounds", "said_sounds")
+    return x.select("id", F.posexplode(scored).alias("pos", "w")).select("id", "pos", "w.word_text", "w.word_score", F.size("w.phonemes").alias("n_phonemes"))
+
+
+def dictionary_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.dictionary(table(spark, d, "documents"), "text", _observed(spark, d))
+
+
 def _heard(spark: SparkSession, d: str) -> DataFrame:
     rows = once(table(spark, d, "pronunciation_analyses"), "id", "expected_text", "predicted_text")
     return rows.join(_labels(spark, d), "id")
@@ -217,6 +242,21 @@ def pause_gaps(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).select("vec_id", F.inline(signal.pauses(spans, 2.0)))
 
 
+def speech_pauses(spark: SparkSession, d: str) -> DataFrame:
+    """Pauses in signals of 2 samples a second, by frames of 4 samples, 2 apart, within 6 dB of the loudest."""
+    pauses = signal.pauses_udf("embedding", F.lit(2), F.lit(1.0), F.lit(6.0), F.lit(4), F.lit(2))
+    return _vectors(spark, d).select("vec_id", F.inline(pauses))
+
+
+def word_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where each expected word lies in a recording: by the alignment for the words it has (here, every third request's first two), else in equal parts."""
+    logs = once(table(spark, d, "api_usage_logs").filter("audio_duration_ms IS NOT NULL AND expected_text IS NOT NULL"), "id", "expected_text", "audio_duration_ms")
+    seconds = _C("audio_duration_ms") / 1000
+    known = F.array(*[F.struct((seconds * a).alias("start"), (seconds * b).alias("end")) for a, b in ((0.0, 0.25), (0.25, 0.5))])
+    aligned = F.when(_C("audio_duration_ms") % 3 == 0, known)
+    return logs.select("id", F.posexplode(signal.word_spans(aligned, F.size(text.tokens(_C("expected_text"))), seconds)).alias("pos", "s")).select("id", "pos", "s.start", "s.end")
+
+
 def voiced_spans(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).select("vec_id", F.inline(signal.voiced_udf("embedding")))
 
@@ -249,12 +289,19 @@ def interval_contain(spark: SparkSession, d: str) -> DataFrame:
     return intervals.contained(runs, words, "doc_id", 200.0)
 
 
+def words_with_phones(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of repeated words as words, and the words in them as phones; runs without any stay."""
+    runs, words = _sentences(spark, d)
+    found = intervals.words_with_phones(runs, words.filter(F.length("label") > 3), "doc_id", 200.0)
+    return found.select("doc_id", "label", "start", "end", F.size("phones").alias("n"), F.array_join(F.transform("phones", lambda p: p["label"]), " ").alias("phones"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        phoneme_sequences, diphthong_split, ipa_normalize, diphthong_rebuild, phoneme_map, phoneme_repeats, phoneme_distance, align_phonemes, phoneme_coverage, scripted_score, reading_score, transcript_score, utterance_score, speech_rate,
+        phoneme_sequences, diphthong_split, ipa_normalize, diphthong_rebuild, phoneme_map, phoneme_repeats, phoneme_distance, align_phonemes, phoneme_coverage, scripted_score, scripted_score_lexicon, observed_lexicon, dictionary_lexicon, reading_score, transcript_score, utterance_score, speech_rate,
         lexical_gate, fillers_phoneme, fillers_both, word_overall_rollup, zero_nonzero_words, attempt_summary, attempt_words, word_phoneme_zip, peak_normalize, noise_gate, cosine_percent,
-        pause_gaps, voiced_spans, rate_over_time, spectral_summary, segment_bounds, interval_contain,
+        pause_gaps, speech_pauses, word_spans, voiced_spans, rate_over_time, spectral_summary, segment_bounds, interval_contain, words_with_phones,
     )
 }
 
@@ -291,7 +338,7 @@ _SEQ = _SPOKEN + """, q AS (SELECT id, list_filter(flatten(list_transform(ws, la
 _BACK = {v: k for k, v in reversed(phonemes.ARPABET.items())}
 _BASE = "CASE WHEN ends_with(trim(p), 'ː') THEN left(trim(p), length(trim(p)) - 1) ELSE trim(p) END"
 _VALUES = lambda table: ", ".join("(" + ", ".join(map(_text, (k, *v))) + ")" for k, v in table.items())
-_INVENTORY = sorted({*phonemes._VOWELS, *phonemes._CONSONANTS, *phonemes._GROUPS} - {phonemes.GAP})
+_INVENTORY = sorted({*phonemes.VOWELS, *phonemes.CONSONANTS, *phonemes._GROUPS} - {phonemes.GAP})
 _V = "(SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos FROM embeddings)"
 ORACLES = {
     "word_overall_rollup": _SPOKEN + """, e AS (SELECT id, list_transform(ws, lambda w: coalesce(list_avg(list_transform(list_filter(json_extract(w, '$.phonemes[*]'), lambda p: json_extract(p, '$.phoneme_score') IS NOT NULL AND json_type(p, '$.phoneme_score') <> 'NULL'), lambda p: CAST(json_extract(p, '$.phoneme_score') AS DOUBLE))), 0)) AS s FROM d)
@@ -312,7 +359,7 @@ SELECT id, n < k AS repeats, CAST(n AS INT) AS n FROM r""",
     "phoneme_map": _SEQ + f"""SELECT id, {_each(f"CASE WHEN ends_with(trim(p), 'ː') AND left(trim(p), length(trim(p)) - 1) IN ({_in(phonemes.KEEPS_LENGTH)}) THEN trim(p) ELSE {_lookup(phonemes.OXFORD, _BASE, _BASE)} END")} AS oxford,
   {_each(_replaced("p"))} AS espeak, {_each(f"CASE WHEN p IN ({_in(phonemes.KNOWN)}) THEN p WHEN p IN ('a', 'e', 'i', 'o', 'u') THEN 'ə' WHEN regexp_full_match(p, '[[:alpha:]]|\\p{{L}}') THEN p END")} AS known,
   {_each(_lookup(_BACK, "p"))} AS arpabet, {_each(_lookup({k: phonemes.ARPABET[v] for k, v in _BACK.items()}, "p"))} AS back, {_each(f"CASE WHEN trim(p) NOT IN ({_in(phonemes.SILENCE)}) THEN trim(p) END")} AS audible FROM q""",
-    "phoneme_distance": f"""WITH v(s, f1, f2, f3) AS (VALUES {_VALUES(phonemes._VOWELS)}), k(s, f1, f2, f3) AS (VALUES {_VALUES(phonemes._CONSONANTS)}),
+    "phoneme_distance": f"""WITH v(s, f1, f2, f3) AS (VALUES {_VALUES(phonemes.VOWELS)}), k(s, f1, f2, f3) AS (VALUES {_VALUES(phonemes.CONSONANTS)}),
 n(a, b) AS (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in phonemes.SYMBOLS.items())}), g(s, i) AS (VALUES {", ".join(f"({_text(s)}, {i})" for i, x in enumerate(phonemes.ALIASES) for s in sorted(x))}),
 i AS (SELECT s, coalesce(n.b, s) AS m FROM (SELECT unnest([{_in(_INVENTORY)}]) AS s) LEFT JOIN n ON n.a = s),
 x AS (SELECT a.s AS a, b.s AS b, EXISTS (SELECT 1 FROM g p JOIN g q USING (i) WHERE p.s = a.s AND q.s = b.s) AS alias,

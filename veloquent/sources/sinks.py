@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from veloquent.functions import phonemes, text
+from veloquent.functions import lexicon, phonemes, text
 from veloquent.operators.upsert import upsert
 
 
@@ -40,14 +40,20 @@ def nested_as_json(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (StructType, ArrayType, MapType)) else F.col(f"`{f.name}`") for f in df.schema])
 
 
-def dictionary(df: DataFrame, text_col: str) -> DataFrame:
-    """(value): ``word<tab>symbols`` of each distinct word of the texts, as an aligner's dictionary."""
+def dictionary(df: DataFrame, text_col: str, known: DataFrame | None = None) -> DataFrame:
+    """(value): ``word<tab>symbols`` of each distinct word of the texts, as an aligner's dictionary.
+
+    Words of the lexicon ``known`` (word, sounds) have its sounds, by a join of distinct words.
+    """
     words = df.select(F.explode(text.tokens(F.lower(text_col))).alias("word")).distinct()
-    return words.select(phonemes.dictionary_udf("word").alias("value")).filter("value IS NOT NULL")
+    if known is None:
+        return words.select(phonemes.dictionary_udf("word").alias("value")).filter("value IS NOT NULL")
+    found = words.join(lexicon.entries(known), "word", "left")
+    return found.select(phonemes.dictionary_udf("word", "sounds").alias("value")).filter("value IS NOT NULL")
 
 
-def write_dictionary(df: DataFrame, text_col: str, path: str) -> None:
-    dictionary(df, text_col).write.mode("overwrite").text(path)
+def write_dictionary(df: DataFrame, text_col: str, path: str, known: DataFrame | None = None) -> None:
+    dictionary(df, text_col, known).write.mode("overwrite").text(path)
 
 
 def report(df: DataFrame, name: str, score: str) -> DataFrame:
