@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veloquent.functions import text
-from veloquent.plans import texts
+from veloquent.plans import fixed, texts
 from veloquent.sources import introspect, payload, sinks
 from veloquent.tables import once, table
 
@@ -70,4 +70,13 @@ ORACLES = {
 SELECT id, coalesce({_list('strengths')}, '') AS strengths, coalesce({_list('improvements')}, '') AS improvements, coalesce(TRY_CAST(json_extract_string(j, '$.lexical_band_score') AS DOUBLE), 5) AS lexical_band_score,
   coalesce(json_extract_string(j, '$.corrected_text'), '') AS corrected_text FROM a""",
     "nested_as_json": "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda v: CAST(floor(CAST(v AS FLOAT) * 1000::FLOAT) AS BIGINT)), ',') || ']' AS embedding FROM embeddings",
+    "dictionary_lines": f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{fixed.TOKEN}')) AS word FROM documents WHERE text IS NOT NULL),
+l AS (SELECT word, array_to_string(list_filter(list_transform(regexp_extract_all(word, 'igh|tch|sh|ch|th|ph|ng|ee|ea|oo|ou|ow|ai|ay|oi|oy|ck|qu|wh|[a-z]'), lambda m: map_from_entries([{fixed.LETTERS}])[m]), lambda x: x IS NOT NULL), ' ') AS sounds FROM w)
+SELECT word || chr(9) || sounds AS value FROM l WHERE sounds <> ''""",
+    "score_report": """WITH m AS (SELECT coalesce(target_accent, 'none') AS accent, CAST(sum(CAST(overall_score AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS score
+  FROM (SELECT DISTINCT id, target_accent, overall_score FROM pronunciation_analyses WHERE overall_score IS NOT NULL) GROUP BY 1)
+SELECT printf('| %s | %.2f |', accent, score) AS value FROM m UNION ALL SELECT printf('Mean: %.2f over %d rows', coalesce(avg(score), 0), count(*)) || chr(10) || chr(10) || '| name | score |' || chr(10) || '|-|-|' FROM m""",
+    "table_columns": """SELECT table_name, CAST(ordinal_position - 1 AS INT) AS position, column_name, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'
+  ELSE lower(data_type) END AS data_type, is_nullable = 'YES' AS nullable FROM information_schema.columns
+WHERE table_name IN ('api_keys', 'api_keys_tenants', 'api_usage_logs', 'context_sizes', 'documents', 'pronunciation_analyses', 'tenants')""",
 }

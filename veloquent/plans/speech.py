@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veloquent.functions import lexicon, phonemes, scoring, sequence, signal, text
 from veloquent.functions.udf import per_row
 from veloquent.operators import intervals
-from veloquent.plans import texts
+from veloquent.plans import fixed, texts
 from veloquent.sources import sinks
 from veloquent.tables import once, table
 
@@ -310,17 +312,15 @@ _SPOKEN = f"""WITH a AS (SELECT id, TRY_CAST(words AS JSON) AS j FROM (SELECT DI
 c AS (SELECT id, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN [j] END AS ws FROM b),
 d AS (SELECT id, list_filter(ws, lambda w: json_type(w) = 'OBJECT') AS ws FROM c WHERE ws IS NOT NULL)
 """
-def _text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
 
 
-def _lookup(pairs: dict[str, str], x: str, otherwise: str = "NULL") -> str:
-    return f"CASE {x} " + " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in pairs.items()) + f" ELSE {otherwise} END"
+def _lookup(pairs: str, x: str) -> str:
+    return f"map_from_entries([{pairs}])[{x}]"
 
 
 def _replaced(x: str) -> str:
-    for a, b in phonemes.ESPEAK:
-        x = f"replace({x}, {_text(a)}, {_text(b)})"
+    for a, b in re.findall(r"\(('(?:[^']|'')*'), ('(?:[^']|'')*')\)", fixed.ESPEAK):
+        x = f"replace({x}, {a}, {b})"
     return x
 
 
@@ -328,18 +328,16 @@ def _each(body: str) -> str:
     return f"array_to_string(list_filter(list_transform(seq, lambda p: {body}), lambda x: x IS NOT NULL), ' ')"
 
 
-def _in(xs) -> str:
-    return ", ".join(map(_text, sorted(xs)))
-
-
 _SEQ = _SPOKEN + """, q AS (SELECT id, list_filter(flatten(list_transform(ws, lambda w: list_transform(json_extract(w, '$.phonemes[*]'), lambda p: json_extract_string(p, '$.ipa_label')))), lambda x: x IS NOT NULL) AS seq FROM d
   UNION ALL SELECT id, CAST([] AS VARCHAR[]) FROM c WHERE ws IS NULL)
 """
-_BACK = {v: k for k, v in reversed(phonemes.ARPABET.items())}
+#: IPA symbol, the first ARPABET symbol for it
+_BACK = ", ".join(f"({b}, {a})" for a, b in re.findall(r"\(('[A-Z]+'), ('[^']+')\)", fixed.ARPABET))
 _BASE = "CASE WHEN ends_with(trim(p), 'ː') THEN left(trim(p), length(trim(p)) - 1) ELSE trim(p) END"
-_VALUES = lambda table: ", ".join("(" + ", ".join(map(_text, (k, *v))) + ")" for k, v in table.items())
-_INVENTORY = sorted({*phonemes.VOWELS, *phonemes.CONSONANTS, *phonemes._GROUPS} - {phonemes.GAP})
 _V = "(SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos FROM embeddings)"
+_TIMED = "(SELECT DISTINCT id, predicted_text, audio_duration_ms FROM api_usage_logs WHERE predicted_text IS NOT NULL AND audio_duration_ms IS NOT NULL)"
+_SOUNDS = lambda x: f"""coalesce(list_sum(list_transform(regexp_extract_all(lower({x}),
+  'igh|tch|sh|ch|th|ph|ng|ee|ea|oo|ou|ow|ai|ay|oi|oy|ck|qu|wh|[a-z]'), lambda m: CASE WHEN m IN ('qu', 'x') THEN 2 ELSE 1 END)), 0)"""
 ORACLES = {
     "word_overall_rollup": _SPOKEN + """, e AS (SELECT id, list_transform(ws, lambda w: coalesce(list_avg(list_transform(list_filter(json_extract(w, '$.phonemes[*]'), lambda p: json_extract(p, '$.phoneme_score') IS NOT NULL AND json_type(p, '$.phoneme_score') <> 'NULL'), lambda p: CAST(json_extract(p, '$.phoneme_score') AS DOUBLE))), 0)) AS s FROM d)
 SELECT id, CAST(len(s) AS INT) AS n_words, list_avg(s) AS overall FROM e WHERE len(s) > 0""",
@@ -353,15 +351,15 @@ UNION ALL SELECT id, '' FROM c WHERE ws IS NULL""",
 SELECT vec_id, pos, v * 0.9::DOUBLE / max(abs(v)) OVER (PARTITION BY vec_id) AS value FROM b""",
     "cosine_percent": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id, list_dot_product(a.v, b.v) AS ab, list_dot_product(a.v, a.v) AS aa, list_dot_product(b.v, b.v) AS bb FROM e a JOIN e b ON b.vec_id + 1 = a.vec_id)
 SELECT vec_id, CASE WHEN aa > 0 AND bb > 0 THEN (greatest(-1::DOUBLE, least(1::DOUBLE, ab / (sqrt(aa) * sqrt(bb)))) + 1) / 2 * 100 END AS percent FROM p""",
-    "diphthong_split": _SEQ + "SELECT id, " + _each(_lookup({k: " ".join(v) for k, v in phonemes.SPLITS.items()}, "p", "p")) + " AS seq FROM q",
+    "diphthong_split": _SEQ + "SELECT id, " + _each(f"coalesce({_lookup(fixed.SPLITS, 'p')}, p)") + " AS seq FROM q",
     "phoneme_repeats": _SEQ + """, r AS (SELECT id, len(seq) AS k, CASE WHEN len(seq) = 0 THEN 0 ELSE 1 + len(list_filter(range(2, len(seq) + 1), lambda i: seq[i] <> seq[i - 1])) END AS n FROM q)
 SELECT id, n < k AS repeats, CAST(n AS INT) AS n FROM r""",
-    "phoneme_map": _SEQ + f"""SELECT id, {_each(f"CASE WHEN ends_with(trim(p), 'ː') AND left(trim(p), length(trim(p)) - 1) IN ({_in(phonemes.KEEPS_LENGTH)}) THEN trim(p) ELSE {_lookup(phonemes.OXFORD, _BASE, _BASE)} END")} AS oxford,
-  {_each(_replaced("p"))} AS espeak, {_each(f"CASE WHEN p IN ({_in(phonemes.KNOWN)}) THEN p WHEN p IN ('a', 'e', 'i', 'o', 'u') THEN 'ə' WHEN regexp_full_match(p, '[[:alpha:]]|\\p{{L}}') THEN p END")} AS known,
-  {_each(_lookup(_BACK, "p"))} AS arpabet, {_each(_lookup({k: phonemes.ARPABET[v] for k, v in _BACK.items()}, "p"))} AS back, {_each(f"CASE WHEN trim(p) NOT IN ({_in(phonemes.SILENCE)}) THEN trim(p) END")} AS audible FROM q""",
-    "phoneme_distance": f"""WITH v(s, f1, f2, f3) AS (VALUES {_VALUES(phonemes.VOWELS)}), k(s, f1, f2, f3) AS (VALUES {_VALUES(phonemes.CONSONANTS)}),
-n(a, b) AS (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in phonemes.SYMBOLS.items())}), g(s, i) AS (VALUES {", ".join(f"({_text(s)}, {i})" for i, x in enumerate(phonemes.ALIASES) for s in sorted(x))}),
-i AS (SELECT s, coalesce(n.b, s) AS m FROM (SELECT unnest([{_in(_INVENTORY)}]) AS s) LEFT JOIN n ON n.a = s),
+    "phoneme_map": _SEQ + f"""SELECT id, {_each(f"CASE WHEN ends_with(trim(p), 'ː') AND left(trim(p), length(trim(p)) - 1) IN ({fixed.KEEPS_LENGTH}) THEN trim(p) ELSE coalesce({_lookup(fixed.OXFORD, _BASE)}, {_BASE}) END")} AS oxford,
+  {_each(_replaced("p"))} AS espeak, {_each(f"CASE WHEN p IN ({fixed.KNOWN}) THEN p WHEN p IN ('a', 'e', 'i', 'o', 'u') THEN 'ə' WHEN regexp_full_match(p, '[[:alpha:]]|\\p{{L}}') THEN p END")} AS known,
+  {_each(_lookup(_BACK, "p"))} AS arpabet, {_each(f"CASE WHEN {_lookup(_BACK, 'p')} IS NOT NULL THEN p END")} AS back, {_each(f"CASE WHEN trim(p) NOT IN ({fixed.SILENCE}) THEN trim(p) END")} AS audible FROM q""",
+    "phoneme_distance": f"""WITH v(s, f1, f2, f3) AS (VALUES {fixed.VOWELS}), k(s, f1, f2, f3) AS (VALUES {fixed.CONSONANTS}),
+n(a, b) AS (VALUES {fixed.SYMBOLS}), g(s, i) AS (VALUES {fixed.ALIASES}),
+i AS (SELECT s, coalesce(n.b, s) AS m FROM (SELECT s FROM v UNION SELECT s FROM k UNION SELECT s FROM g WHERE s <> '∅') LEFT JOIN n ON n.a = s),
 x AS (SELECT a.s AS a, b.s AS b, EXISTS (SELECT 1 FROM g p JOIN g q USING (i) WHERE p.s = a.s AND q.s = b.s) AS alias,
   v1.s IS NOT NULL AND v2.s IS NOT NULL AS vowels, k1.s IS NOT NULL AND k2.s IS NOT NULL AS consonants,
   0.35::DOUBLE + CASE WHEN v1.f1 = v2.f1 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN v1.f2 = v2.f2 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN v1.f3 = v2.f3 THEN 0.10::DOUBLE ELSE 0 END AS sv,
@@ -373,14 +371,48 @@ y AS (SELECT expected_text, json_extract_string(w, '$.word_text') AS word_text,
 SELECT expected_text, word_text, CASE WHEN count(s) > 0 THEN CAST(sum(s) AS DOUBLE) / count(s) END AS average, count(*) AS n FROM y GROUP BY expected_text, word_text""",
     "voiced_spans": f"""WITH a AS (SELECT vec_id, pos, v * v >= 0.1::DOUBLE * max(v * v) OVER (PARTITION BY vec_id) AS loud FROM {_V}), b AS (SELECT vec_id, pos, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS run FROM a WHERE loud)
 SELECT vec_id, CAST(min(pos) AS DOUBLE) AS start, CAST(max(pos) + 1 AS DOUBLE) AS "end" FROM b GROUP BY vec_id, run""",
-    "interval_contain": texts._W + """, b AS (SELECT *, trim(lower(word), '.,!?') AS b FROM o), c AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM b),
+    "interval_contain": texts._W.replace("o AS (", "o AS MATERIALIZED (") + """, b AS (SELECT *, trim(lower(word), '.,!?') AS b FROM o), c AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM b),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
-u AS (SELECT doc_id, min(b) AS label, CAST(min(start) AS DOUBLE) AS s, CAST(max(start + length(word)) AS DOUBLE) AS e FROM r GROUP BY doc_id, run HAVING count(*) > 1),
-i AS (SELECT doc_id, word AS label, CAST(start AS DOUBLE) AS s, CAST(start + length(word) AS DOUBLE) AS e FROM o WHERE regexp_replace(lower(word), '[^a-z0-9'']+', '', 'g') NOT IN ('', 'sil', 'sp'))
+u AS MATERIALIZED (SELECT doc_id, min(b) AS label, CAST(min(start) AS DOUBLE) AS s, CAST(max(start + length(word)) AS DOUBLE) AS e FROM r GROUP BY doc_id, run HAVING count(*) > 1),
+i AS MATERIALIZED (SELECT doc_id, word AS label, CAST(start AS DOUBLE) AS s, CAST(start + length(word) AS DOUBLE) AS e FROM o WHERE regexp_replace(lower(word), '[^a-z0-9'']+', '', 'g') NOT IN ('', 'sil', 'sp'))
 SELECT u.doc_id, u.label AS outer_label, u.s AS outer_start, u.e AS outer_end, i.label AS inner_label, i.s AS inner_start, i.e AS inner_end FROM u JOIN i ON u.doc_id = i.doc_id AND i.s + 0.0001 >= u.s AND i.e - 0.0001 <= u.e""",
     "pause_gaps": f"""WITH a AS (SELECT vec_id, pos, lag(pos) OVER (PARTITION BY vec_id ORDER BY pos) AS last FROM {_V} WHERE abs(v) >= 0.1)
 SELECT vec_id, CAST(last + 1 AS DOUBLE) AS start, CAST(pos - last - 1 AS DOUBLE) AS duration FROM a WHERE pos - last - 1 >= 2""",
     "segment_bounds": """WITH a AS (SELECT DISTINCT id, audio_duration_ms AS ms FROM api_usage_logs WHERE audio_duration_ms IS NOT NULL),
 b AS (SELECT id, CAST(ms AS BIGINT) * 16 AS n, greatest(0, floor(greatest(0::DOUBLE, ms / 4000 - 0.05::DOUBLE) * 16000)) AS a, floor(least(CAST(ms AS BIGINT) * 16 / 16000, ms / 2000 + 0.05::DOUBLE) * 16000) AS b FROM a)
 SELECT id, CAST(a AS BIGINT) AS "from", CAST(CASE WHEN least(n, b) <= a THEN least(n, a + 1600) ELSE least(n, b) END AS BIGINT) AS "to" FROM b""",
+    "speech_rate": texts.fillers_sql(_TIMED, "id", "predicted_text") + f""", c AS (SELECT l.id, ms / 1000 AS s, len({texts._split("x")}) AS n, f.k, f.skipped
+  FROM (SELECT id, predicted_text AS x, audio_duration_ms AS ms FROM {_TIMED}) l LEFT JOIN (SELECT k.id, count(*) AS k, count(DISTINCT len({texts._split("left(t.predicted_text, k.start)")})) AS skipped FROM kept k JOIN {_TIMED} t ON t.id = k.id GROUP BY k.id) f ON f.id = l.id)
+SELECT id, CASE WHEN s <> 0 THEN round_even((n - coalesce(skipped, 0)) / s * 60, 0) ELSE 0 END::DOUBLE AS rate, CASE WHEN s > 0 THEN coalesce(k, 0) / s * 60 ELSE 0 END::DOUBLE AS fillers_per_minute FROM c""",
+    "word_phoneme_zip": _SPOKEN.replace("WITH a AS", "WITH t AS (SELECT DISTINCT id, expected_text FROM pronunciation_analyses WHERE expected_text IS NOT NULL), a AS", 1) + f""",
+x AS (SELECT id, regexp_extract_all(expected_text, '{fixed.TOKEN}') AS es, coalesce(d.ws, []) AS ws FROM t LEFT JOIN d USING (id)),
+y AS (SELECT id, unnest(es) AS word, CAST(generate_subscripts(es, 1) - 1 AS INT) AS pos, ws FROM x)
+SELECT id, pos, word, json_extract_string(ws[pos + 1], '$.word_text') AS scored_word,
+  CAST(CASE json_type(ws[pos + 1], '$.phonemes') WHEN 'ARRAY' THEN len(list_filter(json_extract(ws[pos + 1], '$.phonemes[*]'), lambda p: json_type(p) = 'OBJECT')) WHEN 'OBJECT' THEN 1 ELSE 0 END AS INT) AS n_phonemes FROM y""",
+    "observed_lexicon": _SPOKEN + """, w AS (SELECT unnest(ws) AS w FROM d),
+x AS (SELECT lower(json_extract_string(w, '$.word_text')) AS word, array_to_string(list_filter(list_transform(json_extract(w, '$.phonemes[*]'), lambda p: json_extract_string(p, '$.ipa_label')), lambda p: p IS NOT NULL), ' ') AS sounds FROM w),
+n AS (SELECT word, sounds, count(*) AS n FROM x WHERE word IS NOT NULL AND sounds <> '' GROUP BY word, sounds)
+SELECT word, sounds, n FROM n QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, string_split(sounds, ' ')) = 1""",
+    "phoneme_coverage": f"""WITH t AS (SELECT DISTINCT id, expected_text, predicted_text FROM pronunciation_analyses),
+s AS (SELECT id, {_SOUNDS("expected_text")} AS e, {_SOUNDS("predicted_text")} AS r FROM t)
+SELECT id, r / greatest(e, 1) AS coverage, CASE WHEN r < 3 OR r / greatest(e, 1) < 0.3::DOUBLE THEN 92::DOUBLE END AS fallback_score FROM s""",
+    "rate_over_time": f"""WITH v AS (SELECT vec_id, pos // 16 AS chunk, pos, abs(v) AS a FROM {_V}), p AS (SELECT *, max(a) OVER (PARTITION BY vec_id, chunk) AS top FROM v),
+l AS (SELECT vec_id, chunk, min(pos) FILTER (a > top * 0.1::DOUBLE) AS first, max(pos) FILTER (a > top * 0.1::DOUBLE) AS last FROM p GROUP BY ALL),
+h AS (SELECT vec_id, chunk, count(*) AS n, avg(a) AS mean FROM p JOIN l USING (vec_id, chunk) WHERE pos BETWEEN first AND last GROUP BY ALL)
+SELECT vec_id, CAST(chunk AS INT) AS pos, greatest(0, round_even(12 / 4 * (n / 8 / 2) * least(1.5::DOUBLE, greatest(0.5::DOUBLE, mean * 1000)) / 2 * 60 * (1 + 0.1::DOUBLE * sin(chunk * 0.5::DOUBLE)), 0))::DOUBLE AS value FROM h""",
+    "speech_pauses": f"""WITH f AS (SELECT vec_id, k, sum(v * v) / 4 AS power FROM {_V}, (SELECT unnest(range(0, 33)) AS k) WHERE pos >= 2 * k - 2 AND pos < 2 * k + 2 GROUP BY ALL),
+n AS (SELECT vec_id, k, 10 * log10(greatest(power, 1e-10::DOUBLE) / greatest(max(power) OVER (PARTITION BY vec_id), 1e-10::DOUBLE)) > -6 AS is_on FROM f),
+r AS (SELECT vec_id, k, k - row_number() OVER (PARTITION BY vec_id ORDER BY k) AS run FROM n WHERE is_on),
+s AS (SELECT vec_id, least(min(k) * 2, 64) AS a, least((max(k) + 1) * 2, 64) AS b FROM r GROUP BY vec_id, run),
+g AS (SELECT vec_id, lag(b) OVER (PARTITION BY vec_id ORDER BY a) AS b, a FROM s)
+SELECT vec_id, CAST(floor(b * 0.05::DOUBLE) AS INT) AS start_index, CAST(floor(b * 0.05::DOUBLE) AS INT) AS end_index, round_even((a - b) / 2, 1) AS duration FROM g WHERE (a - b) / 2 >= 1""",
+    "word_spans": f"""WITH l AS (SELECT DISTINCT id, expected_text, audio_duration_ms AS ms FROM api_usage_logs WHERE audio_duration_ms IS NOT NULL AND expected_text IS NOT NULL),
+n AS (SELECT id, ms, ms / 1000 AS s, len(regexp_extract_all(expected_text, '{fixed.TOKEN}')) AS n FROM l), w AS (SELECT *, CAST(unnest(range(0, n)) AS INT) AS pos FROM n)
+SELECT id, pos, CASE WHEN ms % 3 = 0 AND pos < 2 THEN s * (pos * 0.25::DOUBLE) ELSE pos * (s / n) END AS start, CASE WHEN ms % 3 = 0 AND pos < 2 THEN s * ((pos + 1) * 0.25::DOUBLE) ELSE least(s, pos * (s / n) + s / n) END AS "end" FROM w""",
+    "words_with_phones": texts._W.replace("o AS (", "o AS MATERIALIZED (") + """, b AS (SELECT *, trim(lower(word), '.,!?') AS b FROM o), c AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM b),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+u AS MATERIALIZED (SELECT doc_id, min(b) AS label, CAST(min(start) AS DOUBLE) AS s, CAST(max(start + length(word)) AS DOUBLE) AS e FROM r GROUP BY doc_id, run HAVING count(*) > 1),
+i AS MATERIALIZED (SELECT doc_id, word AS label, CAST(start AS DOUBLE) AS s, CAST(start + length(word) AS DOUBLE) AS e FROM o WHERE length(word) > 3 AND regexp_replace(lower(word), '[^a-z0-9'']+', '', 'g') NOT IN ('', 'sil', 'sp'))
+SELECT u.doc_id, u.label, u.s AS start, u.e AS "end", CAST(count(i.label) AS INT) AS n, coalesce(string_agg(i.label, ' ' ORDER BY i.s), '') AS phones
+FROM u LEFT JOIN i ON u.doc_id = i.doc_id AND i.s + 0.0001 >= u.s AND i.e - 0.0001 <= u.e WHERE regexp_replace(u.label, '[^a-z0-9'']+', '', 'g') NOT IN ('', 'sil', 'sp') GROUP BY u.doc_id, u.label, u.s, u.e""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veloquent.functions import sequence, text
+from veloquent.plans import fixed
 from veloquent.tables import once, table
 
 _T = F.col
@@ -124,7 +125,7 @@ QUERIES = {
     )
 }
 
-_S = text.SPACE
+_S = fixed.SPACE
 
 
 def _collapse(x: str) -> str:
@@ -151,30 +152,47 @@ _W = f"""WITH a AS (SELECT doc_id, {_split("text")} AS ws FROM documents WHERE t
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM a),
 o AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w)
 """
-_PRESENT = lambda marks: " + ".join(f"CAST(contains(lower(text), '{m}') AS INT)" for m in marks)
-_MARKS = ", ".join(f"('{k}', '{v}')" for k, v in text.DISCOURSE.items())
+_PRESENT = lambda marks: f"CAST(len(list_filter([{marks}], lambda m: contains(lower(text), m))) AS INT)"
 
 
 def _cuts(values, cuts=(15, 30, 50)) -> str:
     return "CASE " + " ".join(f"WHEN n < {c} THEN {v}" for c, v in zip(cuts, values)) + f" ELSE {values[-1]} END"
 
 
+def fillers_sql(source: str, key: str, column: str) -> str:
+    """CTEs that end in ``kept`` (key, start, stop, raw, sound): the fillers of a text column, near ones after another left out."""
+    at = lambda n: f"lead(plain, {n}) OVER w"
+    return f"""WITH RECURSIVE a AS (SELECT {key}, {_split(f"lower({column})")} AS ws FROM {source} WHERE {column} IS NOT NULL),
+w AS (SELECT {key}, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM a),
+o AS (SELECT *, trim(word, '.,!?') AS plain, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM w),
+n AS (SELECT *, coalesce(lag(plain) OVER w, '') AS before, coalesce({at(1)}, '') AS next, coalesce({at(2)}, '') AS second, lead(word) OVER w AS next_word FROM o WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+h AS MATERIALIZED (SELECT {key}, start, CASE WHEN plain = 'you' THEN word || ' ' || next_word ELSE word END AS raw, CASE WHEN plain = 'you' THEN 'you know' ELSE plain END AS sound FROM n
+  WHERE plain IN ('uh', 'um', 'hmm', 'er', 'ah', 'mm', 'erm', 'eh', 'oh')
+  OR (plain = 'like' AND (pos = 0 OR before IN ('was', 'am', 'is', 'were', 'like') OR next IN ('uh', 'um', 'er', 'ah', 'you', 'totally', 'really', 'literally', 'like')))
+  OR (plain = 'you' AND next = 'know' AND (before = '' OR second IN ('', 'like', 'uh', 'um')))),
+p AS MATERIALIZED (SELECT *, min(start) OVER (PARTITION BY {key} ORDER BY start RANGE BETWEEN 5 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM h),
+chain({key}, start) AS (SELECT {key}, min(start) FROM h GROUP BY {key} UNION ALL SELECT c.{key}, p.following FROM chain c JOIN p ON p.{key} = c.{key} AND p.start = c.start WHERE p.following IS NOT NULL),
+kept AS (SELECT {key}, start, CAST(start + length(raw) AS INT) AS stop, raw, sound FROM h JOIN chain USING ({key}, start))
+"""
+
+
 ORACLES = {
-    "tokenize_words": f"WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{text.TOKEN.replace(chr(39), chr(39) * 2)}') AS ws FROM documents) SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS INT) AS pos, unnest(ws) AS word FROM a",
+    "fillers_text": fillers_sql("documents", "doc_id", "text") + "SELECT doc_id, raw AS text, start AS start_index, stop AS end_index, sound AS phonemes FROM kept",
+    "tokenize_words": f"WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{fixed.TOKEN}') AS ws FROM documents) SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS INT) AS pos, unnest(ws) AS word FROM a",
     "word_normalize": _W + "SELECT doc_id, CAST(pos AS INT) AS pos, regexp_replace(lower(word), '[^a-z0-9'']+', '', 'g') AS word FROM w",
     "text_hash": f"SELECT doc_id, sha256({_collapse('lower(text)')}) AS hash, sha256(text) AS exact, md5(text) AS md5 FROM documents",
     "collapse_ws": f"SELECT doc_id, {_collapse('text')} AS text FROM documents",
     "truncate_preview": "SELECT doc_id, nullif(array_to_string(list_slice(regexp_extract_all(text, '(?s).'), 1, 1000), ''), '') AS text, nullif(array_to_string(list_slice(regexp_extract_all(text, '(?s).'), 1, 500), ''), '') AS preview FROM documents",
     "strip_mark_tags": f"SELECT doc_id, {_collapse('''regexp_replace(text, '<mark[^>]*>(.*?)</mark>', '\\1', 'g')''')} AS text FROM documents",
-    "discourse_markers": _W + f"SELECT doc_id, m AS text, CAST(start AS INT) AS start_index, CAST(start + length(m) AS INT) AS end_index, description FROM (SELECT *, trim(lower(word), '.,!?') AS b FROM o) JOIN (VALUES {_MARKS}) AS k(m, description) ON b = m",
+    "discourse_markers": _W + f"SELECT doc_id, m AS text, CAST(start AS INT) AS start_index, CAST(start + length(m) AS INT) AS end_index, description FROM (SELECT *, trim(lower(word), '.,!?') AS b FROM o) JOIN (VALUES {fixed.DISCOURSE}) AS k(m, description) ON b = m",
     "char_offsets": _W + "SELECT doc_id, CAST(pos AS INT) AS pos, word, CAST(start AS INT) AS start FROM o",
     "repetitions": _W + """, b AS (SELECT *, trim(lower(word), '.,!?') AS b FROM o), c AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM b),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c)
 SELECT doc_id, min(b) AS text, CAST(min(start) AS INT) AS start_index, CAST(max(start + length(word)) AS INT) AS end_index, CAST(count(*) AS INT) AS repeat_count FROM r GROUP BY doc_id, run HAVING count(*) > 1""",
     "lexical_diversity": f"SELECT doc_id, len(list_distinct(ws)) / greatest(len(ws), 1) AS diversity FROM (SELECT doc_id, {_split('lower(text)')} AS ws FROM documents WHERE text IS NOT NULL)",
-    "marker_kinds": f"SELECT doc_id, {_PRESENT(text.ADVANCED)} AS advanced, {_PRESENT(text.COMPLEX)} AS complex, {_PRESENT(text.CONNECTORS)} AS connectors FROM documents",
+    "marker_kinds": "SELECT doc_id, " + ", ".join(f"CASE WHEN text IS NOT NULL THEN {_PRESENT(v)} END AS {k}" for k, v in (("advanced", fixed.ADVANCED), ("complex", fixed.COMPLEX), ("connectors", fixed.CONNECTORS))) + " FROM documents",
     "ielts_heuristics": f"""WITH a AS (SELECT doc_id, text, CAST(len({_split('text')}) AS INT) AS n, CAST(len(list_distinct({_split('lower(text)')})) AS DOUBLE) / greatest(len({_split('lower(text)')}), 1) AS d,
-  greatest(len(list_filter(string_split(text, '.'), lambda s: {_collapse('s')} <> '')), 1) AS s, {_PRESENT(text.ADVANCED)} AS ka, {_PRESENT(text.COMPLEX)} AS kg, {_PRESENT(text.CONNECTORS)} AS kc FROM documents WHERE text IS NOT NULL),
+  greatest(len(list_filter(string_split(text, '.'), lambda s: {_collapse('s')} <> '')), 1) AS s, {_PRESENT(fixed.ADVANCED)} AS ka, {_PRESENT(fixed.COMPLEX)} AS kg, {_PRESENT(fixed.CONNECTORS)} AS kc FROM documents WHERE text IS NOT NULL),
 b AS (SELECT *, ka / greatest(n / 20, 1.0::DOUBLE) AS ar, n / s AS mean, kg / s AS gr, kc / s AS cr FROM a),
 c AS (SELECT doc_id, n, least({_cuts((2.5, 5.5, 6.5, 9.0))}::DOUBLE, {_cuts(('0.5::DOUBLE + d * 1.5::DOUBLE', '3::DOUBLE + d * 2::DOUBLE', '3.5::DOUBLE + d * 2.5::DOUBLE', '4::DOUBLE + d * 3::DOUBLE'))} + CASE WHEN n >= 30 THEN least(2::DOUBLE, ar * 2::DOUBLE) ELSE least(0.5::DOUBLE, ar) END) AS lexical,
   least(9::DOUBLE, {_cuts((3, 4, 5, 5.5))}::DOUBLE + CASE WHEN mean BETWEEN 15 AND 25 THEN 1.5 WHEN mean BETWEEN 10 AND 30 THEN 1.0 ELSE 0 END::DOUBLE + CASE WHEN n >= 30 THEN least(2::DOUBLE, gr * 3::DOUBLE) ELSE least(0.5::DOUBLE, gr) END) AS grammar,
@@ -182,7 +200,7 @@ c AS (SELECT doc_id, n, least({_cuts((2.5, 5.5, 6.5, 9.0))}::DOUBLE, {_cuts(('0.
   least({_cuts((4, 5, 6, 9))}::DOUBLE, {_cuts((2.5, 3, 4, 5))}::DOUBLE + CASE WHEN n >= 30 THEN least(2.5::DOUBLE, cr * 4::DOUBLE) ELSE least(0.5::DOUBLE, cr * 2::DOUBLE) END) AS coherence FROM b)
 SELECT *, lexical * 0.25::DOUBLE + grammar * 0.25::DOUBLE + task * 0.25::DOUBLE + coherence * 0.25::DOUBLE AS overall FROM c""",
     "reading_match": f"SELECT DISTINCT id, {_strip('lower(expected_text)')} = {_strip('lower(predicted_text)')} AS same FROM pronunciation_analyses",
-    "word_variants": f"""WITH w AS (SELECT DISTINCT regexp_replace(lower(unnest(regexp_extract_all(coalesce(text, ''), '{text.TOKEN.replace(chr(39), chr(39) * 2)}'))), '[^a-z0-9'']+', '', 'g') AS word FROM documents),
+    "word_variants": f"""WITH w AS (SELECT DISTINCT regexp_replace(lower(unnest(regexp_extract_all(coalesce(text, ''), '{fixed.TOKEN}'))), '[^a-z0-9'']+', '', 'g') AS word FROM documents),
 v AS (SELECT word, [word, {", ".join(f"CASE WHEN word LIKE '%{e}' AND length(word) > {k} THEN left(word, length(word) - {n}) || '{a}' END" for e, k, n, a in _ENDINGS)}] AS fs FROM w),
 u AS (SELECT word, unnest(fs) AS f, generate_subscripts(fs, 1) AS k FROM v)
 SELECT w.word, coalesce(string_agg(f, ' ' ORDER BY k), '') AS forms FROM w LEFT JOIN (SELECT word, f, min(k) AS k FROM u WHERE f <> '' GROUP BY word, f) USING (word) GROUP BY w.word""",
