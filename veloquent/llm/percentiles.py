@@ -37,12 +37,12 @@ def percentiles(hist: DataFrame, wanted: Sequence[int] = PERCENTILES, levels: in
     The error is zero. For each group and percentile an interval (lo, hi] holds the target rank, with the
     count of rows up to ``lo``. A pass counts the rows between the midpoints of ``levels`` halvings at once,
     keeps the part in which the rank falls, and ends when every interval holds one integer: for a value range
-    of 2**32 after 32/levels passes. Between passes the histogram is cut down to the values that lie in an
-    interval still open, so a pass reads what the last one left undecided.
+    of 2**32 after 32/levels passes. Rows outside the open intervals are not counted again, and after every second
+    pass the histogram is cut down to those inside one.
 
-    What a pass leaves is written to the shared folder, which cuts the lineage, and replaces what the pass before
-    it wrote. A group's intervals are one row, so a value meets them once; Spark broadcasts them only where it
-    measures them small.
+    Passes read the staged histogram; each one's intervals are written to the shared folder, which cuts the lineage,
+    in place of the last ones. Groups are joined to their intervals; Spark broadcasts these only where it measures
+    them small.
     """
     spark = hist.sparkSession
     parts = 1 << levels
@@ -55,14 +55,16 @@ def percentiles(hist: DataFrame, wanted: Sequence[int] = PERCENTILES, levels: in
     keys = ["kind", "grp", "total", "p", "lo", "hi", "base", "rank"]
     edge = lambda i: F.col("lo") + F.floor(width * i / parts).cast("bigint")
     widest = state.agg(F.max(width)).first()[0] or 0
+    n_pass = 0
     while widest > 1:
-        undecided = state.filter(width > 1).groupBy("kind", "grp").agg(F.collect_list(F.struct(*keys[2:])).alias("open"))  # an entry per percentile
-        s, h = undecided.alias("s"), left.alias("h")
-        met = h.join(s, F.col("h.kind").eqNullSafe(F.col("s.kind")) & F.col("h.grp").eqNullSafe(F.col("s.grp")))
-        holds = lambda o: (F.col("h.value") > o["lo"]) & (F.col("h.value") <= o["hi"])
-        met = met.select("h.kind", "h.grp", "h.value", "h.n", F.filter("open", holds).alias("open")).filter(F.size("open") > 0)
-        met = session.staged(met, "histogram")
-        rows = met.select("kind", "grp", "value", "n", F.inline("open"))
+        s, h = state.filter(width > 1).alias("s"), left.alias("h")
+        inside = (F.col("h.value") > F.col("lo")) & (F.col("h.value") <= F.col("hi"))
+        meets = F.col("h.kind").eqNullSafe(F.col("s.kind")) & F.col("h.grp").eqNullSafe(F.col("s.grp")) & inside
+        if n_pass and n_pass % 2 == 0:
+            fewer = session.staged(h.join(s, meets, "left_semi"), "histogram")
+            session.unstage(spark, left)
+            left, h = fewer, fewer.alias("h")
+        rows = h.join(s, meets).select(*[F.col(f"s.{c}").alias(c) for c in keys], F.col("h.value").alias("value"), F.col("h.n").alias("n"))
         # the smallest k with value <= lo + floor(width * k / parts)
         k = F.ceil((F.col("value") - F.col("lo")) * parts / width).cast("bigint")
         k = F.when(F.col("value") > edge(k), k + 1).when(F.col("value") <= edge(k - 1), k - 1).otherwise(k)
@@ -76,8 +78,7 @@ def percentiles(hist: DataFrame, wanted: Sequence[int] = PERCENTILES, levels: in
         hit = listed.withColumn("at", F.aggregate("bins", zero, step))
         narrowed = hit.select("kind", "grp", "total", "p", edge(F.col("at.k") - 1).alias("lo"), edge(F.col("at.k")).alias("hi"), F.col("at.below").alias("base"), "rank")
         new = session.staged(narrowed.unionByName(state.filter(width <= 1)), "intervals")
-        for done in (left, state):
-            session.unstage(spark, done)
+        session.unstage(spark, state)
+        state, n_pass = new, n_pass + 1
         widest = -(-widest // parts)  # no part is wider
-        left, state = met.drop("open"), new
     return state.select("kind", "grp", F.col("total").alias("n"), F.col("p").alias("percentile"), F.col("hi").alias("value"))
