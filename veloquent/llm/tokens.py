@@ -7,8 +7,10 @@ import heapq
 import importlib.util
 import os
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,17 +111,29 @@ class Encoder:
             self._ranks = {data[s:e]: int(i) for s, e, i in zip([0, *ends], ends, a["piece_ids"].tolist())}
         return self._ranks
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def _words(self, texts: list[str | None]) -> list[list[str]]:
+        """The texts' words, all of which the cache then knows: new ones are looked up together, once each."""
         words = [self.find(t) if t else [] for t in texts]
         if len(self.cache) > self.CACHE:
             self.cache.clear()
-        cache = self.cache
-        new = list({w for ws in words for w in ws if w not in cache})
+        new = list(set(chain.from_iterable(words)).difference(self.cache))
         if new:
             raw = [w.encode() for w in new]
             for w, r, place in zip(new, raw, self.lexicon.places(raw).tolist()):
-                cache[w] = self.lexicon.output(place) if place >= 0 else merge(r, self.ranks)
-        return [[i for w in ws for i in cache[w]] for ws in words]
+                self.cache[w] = self.lexicon.output(place) if place >= 0 else merge(r, self.ranks)
+        return words
+
+    def encode(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text, written one after another into one flat array."""
+        ids_of, flat, ends = self.cache.__getitem__, array("i"), [0]
+        for ws in self._words(texts):
+            flat.extend(chain.from_iterable(map(ids_of, ws)))
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+
+    def lengths(self, texts: list[str | None]) -> pa.Array:
+        ids_of = self.cache.__getitem__
+        return pa.array([sum(map(len, map(ids_of, ws))) for ws in self._words(texts)], pa.int32())
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -175,8 +189,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = e.encode(part.column(1).to_pylist())
-                out = pa.array([len(x) for x in ids], pa.int32()) if lengths_only else pa.array(ids, pa.list_(pa.int32()))
+                out = (e.lengths if lengths_only else e.encode)(part.column(1).to_pylist())
                 yield pa.record_batch([part.column(0), out], names=["id", "n_tokens" if lengths_only else "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
