@@ -117,9 +117,24 @@ def test_upserts(spark, tmp_path):
     assert upsert.insert_absent(old, new, ["k"]).count() == 4
     patched = upsert.patch(old, spark.createDataFrame([(1, None), (2, "p")], "k int, v string"), ["k"]).collect()
     assert {r["v"] for r in patched} == {"x", "p", "n"}
-    sinks.upsert_into(spark, f"{tmp_path}/u", old, ["k"], "t")
-    path = sinks.upsert_into(spark, f"{tmp_path}/u", new, ["k"], "t")
-    assert path.endswith("gen=2") and spark.read.parquet(path).count() == 4
+
+
+def test_upserts_rewrite_the_parts_they_touch(spark, tmp_path):
+    path = f"file://{tmp_path}/u"
+    plain = lambda df: sorted((r["k"] is None, r["k"] or 0, r["t"] or 0, r["v"]) for r in df.collect())
+    first = spark.createDataFrame([(k, 1, f"v{k}") for k in range(200)] + [(None, 1, "n")], "k int, t int, v string")
+    assert sinks.upsert_into(spark, path, first, ["k"], "t", parts=8) == list(range(8))
+    state = first
+    for t, rows in enumerate(([(5, 7, "new"), (5, 6, "older")], [(None, 9, "m"), (500, None, "x")], [(5, 1, "late")], [])):
+        batch = spark.createDataFrame(rows, "k int, t int, v string")
+        state = spark.createDataFrame(upsert.upsert(state, batch, ["k"], "t").collect(), first.schema)
+        for _ in range(2):  # the second time changes nothing
+            assert len(sinks.upsert_into(spark, path, batch, ["k"], "t")) <= len(rows)
+            assert plain(sinks.read_upserted(spark, path)) == plain(state)
+    wider = spark.createDataFrame([(7, 9, "w", 1.5)], "k int, t int, v string, more double")
+    sinks.upsert_into(spark, path, wider, ["k"], "t")
+    got = {r["k"]: r["more"] for r in sinks.read_upserted(spark, path).collect()}
+    assert len(got) == 202 and got[7] == 1.5 and got[6] is None
 
 
 def simulate(rows, limits):

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], newest: str) -> DataFrame:
-    """Old and new rows, the newest per key (new before old on ties, then the larger row); all columns of both."""
+    """Old and new rows, the newest per key (new before old on ties, then the larger row); all columns of both.
+
+    Versions of a key are compared within each task before the shuffle, so a key with any number of them is a row per task.
+    """
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [F.desc(c) for c in both.columns if c not in (*keys, newest, "_new")]
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(newest), F.desc("_new"), *rest)
-    return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_new")
+    names = [c for c in both.columns if c != "_new"]
+    rest = [c for c in names if c not in (*keys, newest)]
+    last = both.groupBy(*keys).agg(F.max(F.struct(newest, "_new", *rest)).alias("_row"))
+    return last.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in names])
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

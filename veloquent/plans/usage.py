@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veloquent.functions import text
 from veloquent.operators import ratelimit, upsert, usage
 from veloquent.tables import once, table
 
@@ -117,6 +118,11 @@ def counter_reset(spark: SparkSession, d: str) -> DataFrame:
     return k.select(*out)
 
 
+def elapsed_ms(spark: SparkSession, d: str) -> DataFrame:
+    """Whole milliseconds from a key's making to its last use."""
+    return table(spark, d, "api_keys").select("id", text.elapsed_ms(F.col("created_at"), F.col("last_used_at")).alias("elapsed"))
+
+
 _KEY_STATE = ["id", "usage_count", "updated_at"]
 
 
@@ -144,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         usage_by_key, usage_by_key_tenant, tenant_user_analytics, tenant_summary, ai_costs_daily, recent_logs, tenant_first_key, first_tenant, cross_join_seed, config_by_host, client_ip,
-        truthy_flags, upload_check, rate_limit_counters, rate_limit_decisions, admission_reason, counter_reset, upsert_latest, insert_if_absent, patch_rows,
+        truthy_flags, upload_check, rate_limit_counters, rate_limit_decisions, admission_reason, counter_reset, elapsed_ms, upsert_latest, insert_if_absent, patch_rows,
     )
 }
 
@@ -182,6 +188,7 @@ SELECT id, api_key_id, created_at, CASE WHEN NOT ok1 THEN 'minute' WHEN NOT ok2
   CASE WHEN last_minute_reset < TIMESTAMPTZ '2025-05-01 00:00:00+00' THEN TIMESTAMPTZ '2025-05-01 00:00:00+00' ELSE last_minute_reset END AS last_minute_reset,
   CASE WHEN last_daily_reset < DATE '2025-05-01' THEN 0 ELSE daily_usage END AS daily_usage, CASE WHEN last_daily_reset < DATE '2025-05-01' THEN DATE '2025-05-01' ELSE last_daily_reset END AS last_daily_reset,
   CASE WHEN last_monthly_reset < DATE '2025-05-01' THEN 0 ELSE monthly_usage END AS monthly_usage, CASE WHEN last_monthly_reset < DATE '2025-05-01' THEN DATE '2025-05-01' ELSE last_monthly_reset END AS last_monthly_reset FROM api_keys""",
+    "elapsed_ms": "SELECT id, CAST(floor((epoch_us(last_used_at) - epoch_us(created_at)) / 1000) AS BIGINT) AS elapsed FROM api_keys",
     "upsert_latest": f"""WITH n AS (SELECT api_key_id AS id, CAST(count(*) AS INT) AS usage_count, max(created_at) AS updated_at FROM {_L} WHERE api_key_id IS NOT NULL GROUP BY 1),
 u AS (SELECT id, usage_count, updated_at, 0 AS f FROM api_keys UNION ALL SELECT *, 1 FROM n)
 SELECT id, usage_count, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, f DESC) AS rn FROM u) WHERE rn = 1""",

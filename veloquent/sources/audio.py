@@ -35,7 +35,10 @@ def decode_wav(data: bytes | None, rate: int = RATE) -> list[float] | None:
     return (x * 0.9 / top if top > 0 else x).tolist()
 
 
+samples = per_row(decode_wav, "array<float>")
+
+
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
     """(path, md5, estimated_ms, samples): the files below a folder, one row each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.md5("content").alias("md5"), F.floor(F.col("length") / 32).alias("estimated_ms"), per_row(decode_wav, "array<float>")("content").alias("samples"))
+    return files.select("path", F.md5("content").alias("md5"), F.floor(F.col("length") / 32).alias("estimated_ms"), samples("content").alias("samples"))

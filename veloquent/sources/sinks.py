@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from veloquent import session
 from veloquent.functions import lexicon, phonemes, text
 from veloquent.operators.upsert import upsert
 
@@ -21,18 +23,39 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], newest: str) -> str:
-    """Upsert into a table of generations below ``path``; returns the new generation's folder.
+def read_upserted(spark: SparkSession, path: str, only: Sequence[int] | None = None) -> DataFrame:
+    """The table that ``upsert_into`` keeps below ``path``, or some parts of it."""
+    m = json.loads(session.read_bytes(spark, f"{path}/current.json"))
+    schema = StructType.fromJson(m["schema"])
+    dirs = [f"{path}/gen={g}/part={p}" for p, g in sorted(m["parts"].items()) if only is None or int(p) in only]
+    return spark.read.schema(schema).parquet(*dirs) if dirs else spark.createDataFrame([], schema)
 
-    The last generation stays until the new one is complete, so readers never see half a table.
+
+def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], newest: str, parts: int = 64) -> list[int]:
+    """Upsert into a table kept below ``path``; gives the parts that were written anew.
+
+    Rows lie in ``parts`` parts by a hash of their key (fixed when the table is made), and only parts with a key of the
+    batch are read and rewritten. The list of current parts is replaced at the end, at once, so readers never see half
+    a batch; what it no longer names is removed with the next batch, when readers of the old list have had their time.
     """
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted(int(s.getPath().getName()[4:]) for s in fs.listStatus(done) if s.getPath().getName().startswith("gen=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(done) else []
-    state = upsert(spark.read.parquet(f"{path}/gen={found[-1]}"), new, keys, newest) if found else upsert(new.limit(0), new, keys, newest)
-    target = f"{path}/gen={found[-1] + 1 if found else 1}"
-    state.write.parquet(target)
-    return target
+    known = "current.json" in session.files(spark, path)
+    m = json.loads(session.read_bytes(spark, f"{path}/current.json")) if known else {"n": parts, "generation": 0, "parts": {}}
+    part = F.pmod(F.xxhash64(*keys), F.lit(m["n"])).cast("int").alias("part")
+    batch = session.staged(new, "upsert")
+    touched = sorted(r[0] for r in batch.select(part).distinct().collect())
+    old = read_upserted(spark, path, touched) if known else batch.limit(0)
+    state, g = upsert(old, batch, keys, newest), m["generation"] + 1
+    session.delete_path(spark, f"{path}/gen={g}")  # of a batch that was cut short
+    state.select("*", part).repartition(min(m["n"], max(1, len(touched))), "part").write.partitionBy("part").parquet(f"{path}/gen={g}")
+    for done in session.files(spark, path):
+        if done.startswith("gen=") and done != f"gen={g}":
+            for p in session.files(spark, f"{path}/{done}"):
+                if p.startswith("part=") and m["parts"].get(p[5:]) != int(done[4:]):
+                    session.delete_path(spark, f"{path}/{done}/{p}")
+    m |= {"generation": g, "parts": m["parts"] | {str(p): g for p in touched}, "schema": json.loads(state.schema.json())}
+    session.write_bytes(spark, f"{path}/current.json", json.dumps(m).encode())
+    session.unstage(spark, batch)
+    return touched
 
 
 def nested_as_json(df: DataFrame) -> DataFrame:

@@ -29,8 +29,11 @@ def parse(text: str | None) -> list[dict]:
     return out
 
 
+intervals = per_row(parse, "array<struct<tier:string,label:string,start:double,end:double>>")
+
+
 def read_textgrids(spark: SparkSession, path: str) -> DataFrame:
     """(path, tier, label, start, end) of all files below a folder."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    rows = files.select(F.input_file_name().alias("path"), per_row(parse, "array<struct<tier:string,label:string,start:double,end:double>>")("value").alias("x"))
+    rows = files.select(F.input_file_name().alias("path"), intervals("value").alias("x"))
     return rows.select("path", F.inline("x"))

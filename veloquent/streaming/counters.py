@@ -30,7 +30,7 @@ def session_counts(logs: DataFrame, user: str = "user_id", at: str = "created_at
 
 
 def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], newest: str) -> StreamingQuery:
-    """Keep the newest row per key in a table of generations; a batch replayed after a failure changes nothing."""
+    """Keep the newest row per key in a table of parts (see ``sinks``); a batch replayed after a failure changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
         sinks.upsert_into(batch.sparkSession, path, batch, keys, newest)
