@@ -84,7 +84,8 @@ def align_phonemes(spark: SparkSession, d: str) -> DataFrame:
     """Expected sounds of each scored word against its labels; each distinct pair is aligned once."""
     words = _spoken(spark, d).select(F.explode("words").alias("w")).filter(F.size("w.phonemes") > 0)
     seq = F.filter(F.transform("w.phonemes", lambda p: p["ipa_label"]), lambda p: p.isNotNull())
-    pairs = words.select(_C("w.word_text").alias("word"), phonemes.normal_udf(phonemes.sounds_udf("w.word_text")).alias("e"), phonemes.normal_udf(seq).alias("r")).groupBy("word", "e", "r").agg(F.count(F.lit(1)).alias("n"))
+    seen = words.select(_C("w.word_text").alias("word"), seq.alias("seq")).groupBy("word", "seq").agg(F.count(F.lit(1)).alias("n"))
+    pairs = seen.select("word", phonemes.normal_udf(phonemes.sounds_udf("word")).alias("e"), phonemes.normal_udf("seq").alias("r"), "n").groupBy("word", "e", "r").agg(F.sum("n").alias("n"))
     a = pairs.withColumn("a", phonemes.align_udf("e", "r"))
     mean = F.when(F.size("a.scores") > 0, F.aggregate("a.scores", F.lit(0.0), lambda s, x: s + x) / F.size("a.scores"))
     return a.select("word", _joined(_C("e")).alias("expected"), _joined(_C("r")).alias("recognized"), "n", F.size("a.pairs").alias("steps"), mean.alias("score"))
