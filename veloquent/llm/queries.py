@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +115,47 @@ k AS (SELECT origin, id, CASE
 f AS (SELECT *, min(id) OVER (PARTITION BY origin, k) AS first_id FROM k)
 """
 
+# letters of other scripts, and below each the letter it looks like
+_SHAPES = (
+    "АВЕЅІЇЈКМНОРСТУХԌԚԜӀҺаеѕіїјорсухһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳϹօՕոսհՍɡKÅᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴⲞⲟⲤⲥⲢⲣⲘⲚⲔⲎⲒⲦⲨⲬ",
+    "ABESIÏJKMHOPCTYXGQWIHaesiïjopcyxhdqwABEZHIKMNOPTYXvocjCoOnuhUgKÅABCDEHJKLMPSTVWZBPDTGKJCZFMNLSRVHWXYAEIOUOoCcPpMNKHITYX",
+)
+
+
+def _skeleton() -> str:
+    """A text in the form all texts that look the same share: joiners of pictures kept, what shows nothing left out, then one
+    letter for another, then composed."""
+    bases = dict(zip(*_SHAPES))
+    single = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFA0)} | bases
+    single |= {chr(c): chr(k) for c, k in ((0xFF9E, 0x3099), (0xFF9F, 0x309A))}
+    for c in range(0x370, 0x530):  # accented Greek and Cyrillic letters on such a letter
+        parts = unicodedata.normalize("NFD", chr(c))
+        if len(parts) > 1 and parts[0] in bases:
+            new = unicodedata.normalize("NFC", bases[parts[0]] + parts[1:])
+            if len(new) == 1:
+                single[chr(c)] = new
+    text = "text"
+    for _ in range(2):  # a picture joined on both sides is met by the second round
+        text = rf"regexp_replace({text}, '([\p{{So}}\p{{Sk}}]\x{{FE0F}}?)\x{{200D}}(\p{{So}})', '\1{chr(0xE000)}\2', 'g')"
+    hidden = (
+        r"\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}"
+        r"\x{E0001}\x{E0100}-\x{E01EF}"
+    )
+    text = rf"regexp_replace(regexp_replace({text}, '[{hidden}]', '', 'g'), '[\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g')"
+    for sign, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        text = f"replace({text}, '{sign}', '{letters}')"
+    quoted = lambda xs: "".join(xs).replace("'", "''")
+    return f"nfc_normalize(translate({text}, '{quoted(single)}', '{quoted(single.values())}'))"
+
+
+_LOOK = f"""WITH k AS (SELECT doc_id, text, {_skeleton()} AS k FROM documents WHERE text IS NOT NULL),
+v AS MATERIALIZED (SELECT * FROM k WHERE regexp_matches(k, '[^\\s\\p{{Z}}\\p{{C}}]'))
+"""
+
 ORACLES = {
+    "p10_found": _LOOK + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.k = b.k AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_members": _LOOK + """, c AS (SELECT k, min(doc_id) AS class_id, count(DISTINCT text) AS n_texts, count(*) AS n_documents FROM v GROUP BY k)
+SELECT doc_id, class_id, n_texts, CAST(n_documents AS BIGINT) AS n_documents FROM v JOIN c USING (k) WHERE n_texts > 1""",
     "p1_found": _SAME_TEXT + "SELECT origin, first_id, id AS copy_id FROM f WHERE id <> first_id",
     "p1_texts": _SAME_TEXT + "SELECT origin, first_id, count(*) AS copies FROM f GROUP BY ALL",
     "p4_distinct": """
