@@ -82,6 +82,20 @@ def test_features_are_wide(spark, rows, heavy):
     assert empty.columns == ["user_id"] and empty.count() == 0
 
 
+@pytest.mark.parametrize("heavy", [[], ["u"]])
+def test_events_without_an_id_are_told_apart(spark, heavy):
+    rows = [(None, "u", "e", None, T0, ms, 1, "") for ms in (1, 2, 2, None)] + [("i", "u", "e", None, T0, 5, 1, "")] * 2
+    got = features.entity_runs(spark.createDataFrame(rows, SCHEMA), "user_id", "endpoint", "created_at", "id", ["audio_duration_ms"], heavy).collect()
+    assert [(g["n"], g["audio_duration_ms"]) for g in got] == [(4, 8)]
+
+
+def test_documents_without_an_id_are_told_apart(spark):
+    rows = [(None, '[{"p": 1}]'), (None, '[{"p": 1}]'), (None, '[{"p": 2}, {"p": 3}]'), ("a", "[{}]"), ("a", "[{}]"), (None, None)]
+    found = nested.nodes(spark.createDataFrame(rows, "id string, doc string"), "id", "doc", "o", "d", ["d"])
+    got = nested.once_per_document(found, F.col("nodes"), {"pos": lambda n: n["pos"], "p": nested.field("p", "int")}).collect()
+    assert sorted(((g["row_id"] or "", g["pos"], g["p"] or 0) for g in got)) == [("", 0, 1), ("", 0, 2), ("", 1, 3), ("a", 0, 0)]
+
+
 def test_odd_type_names(spark):
     odd = ["a.b", "`c`", "", "d e"]
     df = spark.createDataFrame([("i%d" % i, "u", t, None, T0, i, 1, "") for i, t in enumerate(odd)], SCHEMA)

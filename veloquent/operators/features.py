@@ -20,12 +20,12 @@ def event_types(df: DataFrame, kind: str, most: int = 2_000) -> list[str]:
 
 def _rows(df: DataFrame, entity: str, kind: str, at: str, id_col: str, totals: Sequence[str]) -> DataFrame:
     values = F.struct(F.col(at).alias("at"), *[F.col(c).cast("bigint").alias(f"t{i}") for i, c in enumerate(totals)])
-    return df.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(kind).alias("_k"), F.col(id_col).alias("_id"), values.alias("_v"))
+    return df.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(kind).alias("_k"), F.col(id_col).alias("_id"), F.when(F.col(id_col).isNull(), F.xxhash64(values)).alias("_a"), values.alias("_v"))
 
 
 def _streamed(x: DataFrame, n_totals: int) -> DataFrame:
     # min and max over structs keep Spark with sorted aggregation, which needs constant memory
-    one = x.groupBy("_e", "_k", "_id").agg(F.min("_v").alias("_v"))
+    one = x.groupBy("_e", "_k", "_id", "_a").agg(F.min("_v").alias("_v"))
     return one.groupBy("_e", "_k").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("_v.at"))).alias("_last"), *[F.sum(f"_v.t{i}").alias(f"t{i}") for i in range(n_totals)])
 
 
@@ -35,7 +35,7 @@ def _parts(df: DataFrame, entity: str, kind: str, at: str, id_col: str, totals:
     heavy = heavy_keys(rows, "_e") if heavy is None else list(heavy)
     hot = F.col("_e").isin(heavy)
     cold = rows.filter(~hot) if heavy else rows
-    parts = [_streamed(cold.repartition("_e").sortWithinPartitions("_e", "_k", "_id"), len(totals))]
+    parts = [_streamed(cold.repartition("_e").sortWithinPartitions("_e", "_k", "_id", "_a"), len(totals))]
     return parts + ([_streamed(rows.filter(hot), len(totals))] if heavy else [])
 
 
@@ -48,7 +48,8 @@ def entity_runs(df: DataFrame, entity: str, kind: str, at: str, id_col: str, tot
     combined before their shuffle instead, so that no task holds one of them whole.
 
     Null entities are no entities and yield no row; a null type is a type of its own; null times and
-    totals count as events but add nothing (a sum over nothing but nulls is null).
+    totals count as events but add nothing (a sum over nothing but nulls is null). Events without an id are told
+    apart by their time and totals, and equal ones count once.
     """
     parts = _parts(df, entity, kind, at, id_col, totals, heavy)
     runs = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]

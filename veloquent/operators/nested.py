@@ -300,10 +300,11 @@ def once_per_document(found: DataFrame, rows: Column, columns: Mapping[str, Call
     """(origin, row_id, *columns): a row per element of ``rows``, made by ``columns``; documents delivered twice count once.
 
     What travels in the one shuffle is a row per document with the finished columns packed in it: neither documents
-    nor maps, and an id once for all its nodes.
+    nor maps, and an id once for all its nodes. Documents without an id are told apart by their rows.
     """
     slim = found.select("origin", "row_id", F.transform(rows, lambda n: F.struct(*[f(n).alias(c) for c, f in columns.items()])).alias("rows"))
-    return slim.filter(F.size("rows") > 0).dropDuplicates(["origin", "row_id"]).select("origin", "row_id", F.inline("rows"))
+    slim = slim.filter(F.size("rows") > 0).withColumn("_anonymous", F.when(F.col("row_id").isNull(), F.xxhash64("rows")))
+    return slim.dropDuplicates(["origin", "row_id", "_anonymous"]).select("origin", "row_id", F.inline("rows"))
 
 
 def field(name: str, kind: str) -> Callable[[Column], Column]:
