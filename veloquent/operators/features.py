@@ -74,11 +74,12 @@ def entity_features(
         # columns are taken by place: names of types may hold anything
         x = runs.withColumn("_at", F.unix_micros("_last.at")).groupBy("_e").pivot("_k", types).agg(*sums)
         x = x.toDF("_e", *[f"c{i}" for i in range(len(x.columns) - 1)])
-        out, at_place = [F.col("_e").alias(entity)], iter(range(len(x.columns)))
-        for t in types:
-            out += [F.coalesce(F.col(f"c{next(at_place)}"), F.lit(0)).cast("bigint").alias(f"{t}_n"), F.timestamp_micros(f"c{next(at_place)}").alias(f"{t}_last_at")]
-            out += [F.col(f"c{next(at_place)}").cast("bigint").alias(f"{t}_{c}") for c in totals]
-        return x.select(*out)
+        place, name = map("c{}".format, range(len(x.columns))), lambda c: "`" + c.replace("`", "``") + "`"
+        out = [f"_e AS {name(entity)}"]
+        for t in types:  # as SQL text: hundreds of types make thousands of expressions
+            out += [f"CAST(coalesce({next(place)}, 0) AS BIGINT) AS {name(f'{t}_n')}", f"timestamp_micros({next(place)}) AS {name(f'{t}_last_at')}"]
+            out += [f"CAST({next(place)} AS BIGINT) AS {name(f'{t}_{c}')}" for c in totals]
+        return x.selectExpr(*out)
 
     parts = [wide(x) for x in _parts(df, entity, kind, at, id_col, totals, heavy)]
     return parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
