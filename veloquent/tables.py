@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,14 +26,12 @@ def once(df: DataFrame, id_col: str, *cols: str | Column) -> DataFrame:
 
 
 def heavy_keys(df: DataFrame, key: str, share: int = 10_000, floor: int = 50_000) -> list:
-    """Keys holding more than both ``1/share`` of the keyed rows and ``floor`` rows.
+    """Keys holding more than both ``1/share`` of the rows and ``floor`` rows.
 
-    There are fewer than ``share`` of them, whatever the data, so they may be collected or broadcast.
-    Counting is one map-side combined pass over the key column alone, which yields the total too.
+    There are fewer than ``share`` of them, whatever the data, so they may be collected or broadcast; no other
+    key leaves its task. The total comes from the files' footers where it can; counting keys is one map-side
+    combined pass over the key column alone.
     """
-    total = Observation()
+    most = max(floor, df.count() // share)
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.observe(total, F.sum("_n").alias("n"))
-    top = counts.orderBy(F.desc("_n")).limit(share).collect()
-    most = max(floor, (total.get["n"] or 0) // share)
-    return sorted(r[0] for r in top if r["_n"] > most)
+    return sorted(r[0] for r in counts.filter(F.col("_n") > most).collect())
