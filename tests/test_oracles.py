@@ -57,3 +57,9 @@ def test_scans_are_pruned_and_filtered(spark):
     assert "response_data" not in plan and "GreaterThanOrEqual(created_at" in plan
     plan = catalog.QUERIES["usage_by_key"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "expected_text" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["phoneme_sequences", "phoneme_map", "diphthong_rebuild", "word_overall_rollup", "attempt_words", "observed_lexicon", "tenant_summary", "p2_features", "p3_trailing"])
+def test_plans_stay_in_the_jvm(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan

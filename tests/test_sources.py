@@ -234,3 +234,20 @@ def test_small_files_are_replaced_whole(spark, tmp_path):
         session.write_bytes(spark, path, data)
         assert session.read_bytes(spark, path) == data
     assert [f for f in session.files(spark, f"file://{tmp_path}/x") if not f.startswith(".")] == ["manifest.json"]
+
+
+def test_a_stream_keeps_the_newest_row_per_key(spark, tmp_path):
+    from veloquent.streaming import counters
+
+    schema = "k int, t int, v string"
+    spark.createDataFrame([(1, 1, "a"), (2, 5, "b"), (1, 3, "c")], schema).write.parquet(f"{tmp_path}/in")
+    table, checkpoint = f"file://{tmp_path}/out", f"{tmp_path}/cp"
+
+    def run():
+        q = counters.upsert_sink(counters.log_stream(spark, f"{tmp_path}/in", schema, 1), table, checkpoint, ["k"], "t")
+        q.awaitTermination()
+        return sorted(map(tuple, sinks.read_upserted(spark, table).collect()))
+
+    assert run() == [(1, 3, "c"), (2, 5, "b")]
+    spark.createDataFrame([(2, 4, "late"), (3, 1, "d"), (1, 9, None)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == run() == [(1, 9, None), (2, 5, "b"), (3, 1, "d")]
