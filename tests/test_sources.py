@@ -251,3 +251,13 @@ def test_a_stream_keeps_the_newest_row_per_key(spark, tmp_path):
     assert run() == [(1, 3, "c"), (2, 5, "b")]
     spark.createDataFrame([(2, 4, "late"), (3, 1, "d"), (1, 9, None)], schema).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == run() == [(1, 9, None), (2, 5, "b"), (3, 1, "d")]
+
+
+def test_files_for_executors_outlive_a_staging_block(spark):
+    from pyspark import SparkFiles
+
+    from veloquent import session
+
+    with session.staging(spark):
+        name = session.add_file(spark, "numbers.bin", b"123")
+    assert spark.range(4).repartition(4).rdd.map(lambda _: open(SparkFiles.get(name), "rb").read()).collect() == [b"123"] * 4

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +62,13 @@ def _remove_local(d: str) -> None:
 _OPEN: list[list[str]] = []  # paths made inside each open ``staging`` block, innermost last
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing has used, removed when its ``staging`` block or the driver ends."""
+def new_path(spark: SparkSession, tag: str, lasting: bool = False) -> str:
+    """A path in the shared folder that nothing has used, removed when its ``staging`` block or the driver ends.
+
+    A ``lasting`` one stays to the driver's end: files that executors fetch when they start, whenever that is.
+    """
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if _OPEN:
+    if _OPEN and not lasting:
         _OPEN[-1].append(path)
     atexit.register(delete_path, spark, path)
     return path
@@ -154,20 +159,30 @@ def unstage(spark: SparkSession, df: DataFrame) -> None:
         delete_path(spark, path)
 
 
+def add_file(spark: SparkSession, name: str, data: bytes, python: bool = False) -> str:
+    """Give a file to all executors, also to those that start later: it lies in the shared folder. Its name there."""
+    path = f"{new_path(spark, 'files', lasting=True)}/{name}"
+    write_bytes(spark, path, data)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()  # with its scheme
+    (spark.sparkContext.addPyFile if python else spark.sparkContext.addFile)(whole)
+    return name
+
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that their Python workers can import it."""
-    import shutil
-
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    root = os.path.dirname(os.path.abspath(__file__))
-    d = tempfile.mkdtemp(prefix="veloquent-")
-    atexit.register(_remove_local, d)
-    copy = os.path.join(d, "copy", "veloquent")
-    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("__pycache__"))
-    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(d, "veloquent"), "zip", os.path.dirname(copy)))
+    root, out = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("veloquent", os.path.relpath(full, root)))
+    add_file(spark, f"veloquent-{uuid.uuid4().hex[:8]}.zip", out.getvalue(), python=True)
