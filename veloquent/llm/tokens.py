@@ -7,6 +7,7 @@ import heapq
 import importlib.util
 import os
 import tempfile
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -150,22 +151,18 @@ def ship_lexicon(texts: DataFrame, text_col: str, name: str = "byte_bpe_50k", fo
     """Build the lexicon of a corpus and send its file to all executors: (file name, pattern).
 
     At most ``most`` words of ``LEXICON_BYTES`` bytes, and the vocabulary itself, so a few MB at any corpus size.
-    Which words are in it changes speed only, never ids. The file lies in the shared folder, where executors that
-    join later find it too, and goes with the other staged files.
+    Which words are in it changes speed only, never ids. The file lies in the shared folder until the driver
+    ends, so that executors which join later find it too.
     """
     pat, ranks = pattern(folder), read_ranks(name, folder)
     words = frequent_words(texts, text_col, pat, most)
     pieces = sorted(ranks, key=ranks.__getitem__)
     extra = {"piece_bytes": np.frombuffer(b"".join(pieces), np.uint8), "piece_ends": np.cumsum([len(p) for p in pieces]).astype(np.int64), "piece_ids": np.array([ranks[p] for p in pieces], np.int32)}
-    spark = texts.sparkSession
-    path = session.new_path(spark, "lexicon")
     with tempfile.TemporaryDirectory() as here:  # the driver's own, while the file is put together
         name = os.path.join(here, "lexicon")
         write(name, words, [merge(w, ranks) for w in words], extra)
         with open(name, "rb") as f:
-            session.write_bytes(spark, path, f.read())
-    spark.sparkContext.addFile(path)
-    file = os.path.basename(path)
+            file = session.add_file(texts.sparkSession, f"lexicon-{uuid.uuid4().hex}.bin", f.read())
     return file, pat
 
 
