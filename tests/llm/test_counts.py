@@ -32,6 +32,15 @@ def test_counts_by_set_are_exact(spark, rows):
     assert got == {k: len(v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("keep", ["false", "user_id IS NULL"])
+def test_nobody_is_counted_as_0(spark, rows, keep):
+    """GROUPING SETS with () give one row even over nothing; all other sets give none."""
+    df = spark.createDataFrame(rows, KIND).filter(keep)
+    got = distinct.by_sets(distinct.patterns(distinct.memberships(df, "user_id", groups())), [("all", []), ("d", ["day"]), ("dt", ["day", "tenant"])], ["day", "tenant"])
+    assert [tuple(x) for x in got.collect()] == [("all", None, None, 0)]
+    assert [f.dataType.simpleString() for f in got.schema] == ["string", "int", "string", "bigint"]
+
+
 def test_any_combination(spark, rows):
     t = distinct.patterns(distinct.memberships(spark.createDataFrame(rows, KIND), "user_id", groups())).cache()
     users = lambda f: {r[0] for r in rows if r[0] is not None and f(r)}

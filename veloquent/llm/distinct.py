@@ -53,7 +53,8 @@ def by_sets(totals: DataFrame, sets: Sequence[tuple[str, Sequence[str]]], names:
     """Distinct identifiers per value of each grouping set: (kind, *names, n_distinct), as by GROUPING SETS.
 
     A pattern names each group of a set once, however many of its cells lie in it, so adding up the totals
-    counts no identifier twice. Columns that are not in a row's set are null.
+    counts no identifier twice. Columns that are not in a row's set are null. The set without columns has a row
+    in any case, as in SQL: 0 where nobody was seen.
     """
     cell_types = {f.name: f.dataType for f in totals.schema["cells"].dataType.elementType}
 
@@ -62,6 +63,9 @@ def by_sets(totals: DataFrame, sets: Sequence[tuple[str, Sequence[str]]], names:
         return _each_once(F.transform("cells", one))
 
     rows = totals.select("n", F.explode(F.concat(*[entries(k, keep) for k, keep in sets])).alias("g")).select("g.*", "n")
+    if whole := [k for k, keep in sets if not keep]:
+        nobody = totals.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(k) for k in whole])).alias("kind"), *[F.lit(None).cast(cell_types[n]).alias(n) for n in names], F.lit(0).cast("bigint").alias("n"))
+        rows = rows.unionByName(nobody)
     return rows.groupBy("kind", *names).agg(F.sum("n").alias("n_distinct"))
 
 
